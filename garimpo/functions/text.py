@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters trimmed as outer blanks.
 BLANKS = " \t\r\n"
@@ -22,7 +23,7 @@ def is_ascii(c: Column) -> Column:
     return F.octet_length(c) == F.length(c)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _key_udf(s: pd.Series) -> pd.Series:
     def one(x: str | None) -> str | None:
         if x is None:
@@ -33,7 +34,7 @@ def _key_udf(s: pd.Series) -> pd.Series:
     return s.map(one, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fold_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda x: "".join(ch for ch in unicodedata.normalize("NFKD", x) if not unicodedata.combining(ch)), na_action="ignore")
 
