@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from garimpo.llm import mixing, percentiles, split, tokens
+from garimpo.llm import garbled, mixing, percentiles, split, tokens
 from garimpo.runtime import load
 
 
@@ -50,11 +50,20 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(load(spark, d, "documents"), load(spark, d, "pesos_fontes"))[1]
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.garbled(load(spark, d, "documents"), "doc_id", "text").withColumnRenamed("chave", "doc_id")
+
+
+def p10_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.repaired(load(spark, d, "documents"), "doc_id", "text").withColumnRenamed("chave", "doc_id")
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_pieces": p2_pieces,
     "p7_percentiles": p7_percentiles, "p7_daily": p7_daily,
     "p8_ids": p8_ids,
     "p9_mix": p9_mix, "p9_shares": p9_shares,
+    "p10_found": p10_found, "p10_repaired": p10_repaired,
 }
 
 ORACLE = {
