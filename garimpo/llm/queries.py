@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from garimpo.llm import garbled, mixing, percentiles, split, tokens
+from garimpo.llm import garbled, mixing, neardup, percentiles, split, tokens
 from garimpo.runtime import load
 
 
@@ -18,6 +18,18 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return split.oversized(pieces).withColumnRenamed("chave", "rid")
 
 
+def _similar(spark: SparkSession, d: str) -> neardup.NearDuplicates:
+    return neardup.NearDuplicates([("skills", load(spark, d, "skills"), "id", "content"), ("chunks", load(spark, d, "chunks"), "rid", "doc")])
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _similar(spark, d).pairs()
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    return _similar(spark, d).groups()
+
+
 QUANTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
 
@@ -60,6 +72,7 @@ def p10_repaired(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p2_pieces": p2_pieces,
+    "p6_found": p6_found, "p6_groups": p6_groups,
     "p7_percentiles": p7_percentiles, "p7_daily": p7_daily,
     "p8_ids": p8_ids,
     "p9_mix": p9_mix, "p9_shares": p9_shares,
