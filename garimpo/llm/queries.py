@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from garimpo.llm import garbled, mixing, neardup, percentiles, split, tokens
+from garimpo.llm import garbled, mixing, neardup, neighbors, percentiles, split, tokens
 from garimpo.runtime import load
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    near = neighbors.neighbors(load(spark, d, "chunks"), "col", "rid", "vec", k=5, least=0.90)
+    return near.select(F.least("r", "vizinho").alias("rid_a"), F.greatest("r", "vizinho").alias("rid_b")).distinct()
+
+
+def p1_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 most similar vectors of every usable vector."""
+    return neighbors.neighbors(load(spark, d, "chunks"), "col", "rid", "vec", k=5, rerank=80, probes=24).select(F.col("r").alias("rid"), "vizinho", "cos", "ordem")
+
+
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_texts(load(spark, d, "chunks"), "rid", "id", "doc").withColumnRenamed("chave", "rid")
 
@@ -71,6 +81,7 @@ def p10_repaired(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found, "p1_neighbors": p1_neighbors,
     "p2_found": p2_found, "p2_pieces": p2_pieces,
     "p6_found": p6_found, "p6_groups": p6_groups,
     "p7_percentiles": p7_percentiles, "p7_daily": p7_daily,
