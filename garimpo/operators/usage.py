@@ -38,11 +38,13 @@ def ledger(calls: DataFrame, since: float = 0.0) -> DataFrame:
     counts = counts.withColumn("upto", F.sum("n").over(w)).withColumn("all", F.sum("n").over(Window.partitionBy("ferramenta")))
     at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("segundos")))
     n = F.col("all")
+    # rounded as decimals, so halves do not depend on the order of summation
+    exact = lambda c, p: F.round(c.cast("decimal(20,6)"), p).cast("double")
     q = counts.groupBy("ferramenta").agg(
-        F.round((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2, 3).alias("p50"),
-        F.round(at(F.least(n - 1, F.floor(n * F.lit(0.95).cast("double")))), 3).alias("p95"),
+        exact((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2, 3).alias("p50"),
+        exact(at(F.least(n - 1, F.floor(n * F.lit(0.95).cast("double")))), 3).alias("p95"),
     )
-    totals = c.groupBy("ferramenta").agg(F.count("*").alias("chamadas"), F.sum(F.when(F.coalesce("erro", F.lit("")) != "", 1).otherwise(0)).alias("erros"), F.round(F.sum("segundos"), 1).alias("segundos_total"), F.sum(F.col("chars_saida").cast("long")).alias("chars_saida"), F.sum(F.col("chars_apontados").cast("long")).alias("chars_apontados"))
+    totals = c.groupBy("ferramenta").agg(F.count("*").alias("chamadas"), F.sum(F.when(F.coalesce("erro", F.lit("")) != "", 1).otherwise(0)).alias("erros"), F.round(F.sum(F.col("segundos").cast("decimal(20,6)")), 1).cast("double").alias("segundos_total"), F.sum(F.col("chars_saida").cast("long")).alias("chars_saida"), F.sum(F.col("chars_apontados").cast("long")).alias("chars_apontados"))
     return totals.join(q, "ferramenta")
 
 

@@ -170,8 +170,8 @@ def a02_top_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT *, row_number() OVER (PARTITION BY ferramenta ORDER BY segundos) - 1 AS i, count(*) OVER (PARTITION BY ferramenta) AS n FROM chamadas WHERE em >= 0 AND segundos IS NOT NULL AND NOT isnan(segundos))
-SELECT ferramenta, count(*) AS chamadas, count(*) FILTER (coalesce(erro, '') <> '') AS erros, round(sum(segundos), 1) AS segundos_total, CAST(sum(chars_saida) AS BIGINT) AS chars_saida, CAST(sum(chars_apontados) AS BIGINT) AS chars_apontados,
-round((max(segundos) FILTER (i = (n - 1) // 2) + max(segundos) FILTER (i = n // 2)) / 2, 3) AS p50, round(max(segundos) FILTER (i = least(n - 1, CAST(floor(CAST(0.95 AS DOUBLE) * n) AS BIGINT))), 3) AS p95 FROM c GROUP BY ferramenta""")
+SELECT ferramenta, count(*) AS chamadas, count(*) FILTER (coalesce(erro, '') <> '') AS erros, round(sum(CAST(segundos AS DECIMAL(20, 6))), 1)::DOUBLE AS segundos_total, CAST(sum(chars_saida) AS BIGINT) AS chars_saida, CAST(sum(chars_apontados) AS BIGINT) AS chars_apontados,
+round(CAST((max(segundos) FILTER (i = (n - 1) // 2) + max(segundos) FILTER (i = n // 2)) / 2 AS DECIMAL(20, 6)), 3)::DOUBLE AS p50, round(CAST(max(segundos) FILTER (i = least(n - 1, CAST(floor(CAST(0.95 AS DOUBLE) * n) AS BIGINT))) AS DECIMAL(20, 6)), 3)::DOUBLE AS p95 FROM c GROUP BY ferramenta""")
 def a03_ledger(spark: SparkSession, d: str) -> DataFrame:
     return U.ledger(load(spark, d, "chamadas"))
 
