@@ -43,7 +43,7 @@ def test_alerts(spark, tmp_path):
 
 def test_windows_close_once(spark, tmp_path):
     t = lambda m: dt.datetime(2025, 1, 1, 0, m)
-    s = _stream(spark, tmp_path / "c", [[(t(1), "a", 1.0), (t(2), "a", 2.0)], [(t(40), "a", 5.0)], [(t(1), "a", 9.0), (t(59), "a", 1.0)]], "ts timestamp, k string, v double")
+    s = _stream(spark, tmp_path / "c", [[(t(1), "a", 1.0), (t(2), "a", 2.0)], [(t(40), "a", 5.0)], [(t(45), "a", 5.0)], [(t(1), "a", 9.0), (t(59), "a", 1.0)]], "ts timestamp, k string, v double")
     got = _run(spark, stateful.windowed(s, "ts", "k", "v", "10 minutes", "5 minutes"), "append", "wins").collect()
     assert (t(0), "a", 2, 3.0) in {tuple(r) for r in got}
 
