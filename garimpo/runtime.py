@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +48,19 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), f"garimpo-{os.getuid()}"))
     return df.checkpoint(eager)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the session's workers this package, once, so that they need not have it installed or start in its folder."""
+    sc = spark.sparkContext
+    if getattr(sc, "_garimpo_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    # the driver serves the file from where it lies, for as long as the session lasts
+    z = os.path.join(tempfile.mkdtemp(prefix="garimpo-"), "garimpo_workers.zip")
+    with zipfile.ZipFile(z, "w") as out:
+        for p in sorted(root.rglob("*.py")):
+            out.write(p, str(p.relative_to(root.parent)))
+    atexit.register(shutil.rmtree, os.path.dirname(z), ignore_errors=True)
+    sc.addPyFile(z)
+    sc._garimpo_shipped = True
