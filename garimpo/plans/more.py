@@ -1,0 +1,198 @@
+"""Further queries of the reference's operator families, with their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from garimpo.functions import texts as X
+from garimpo.operators import graph as G
+from garimpo.operators import notes as N
+from garimpo.operators import ranking as R
+from garimpo.operators import usage as U
+from garimpo.plans import reference as Q
+from garimpo.runtime import load
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):  # noqa: ANN201
+    def add(f):  # noqa: ANN001, ANN202
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query("SELECT source_repo, trim(regexp_replace(lower(strip_accents(source_repo)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM skills GROUP BY ALL")
+def p10_client_slugs(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "skills").select("source_repo").distinct().select("source_repo", N.client_slug(F.col("source_repo")).alias("slug"))
+
+
+@query("SELECT rid, CASE WHEN starts_with(id, '/acervo/') AND len(string_split(substring(id, 9), '/')) >= 2 THEN string_split(substring(id, 9), '/')[1] END AS cliente FROM chunks")
+def p11_client_from_path(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "chunks").select("rid", N.client_from_path(F.col("id"), ["/acervo"]).alias("cliente"))
+
+
+@query("""WITH d AS (SELECT doc_id, caminho, substring(coalesce(text, ''), 1, 600) AS h, list_filter(string_split(caminho, '/'), lambda x: x <> '') AS p FROM documents)
+SELECT doc_id, CASE WHEN len(p) >= 3 AND p[2] = 'graphs' THEN 'generated' WHEN contains(lower(caminho), 'transcript-') OR contains(h, 'session-transcript') OR regexp_matches(regexp_extract(caminho, '([^/]*?)(?:\\.[^./]*)?$', 1), '(?i)(^|[-_ (])transcri[cç][aã]o\\)?$') THEN 'transcript' WHEN contains(lower(caminho), 'chat-') THEN 'chat' ELSE 'curated' END AS subtipo FROM d""")
+def p13_subkinds(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "documents").select("doc_id", N.note_subkind(F.col("caminho"), F.col("text")).alias("subtipo"))
+
+
+_JUNK_NAME = "regexp_matches(ltrim(lower(regexp_extract(rel_path, '([^/]*?)(?:\\.[^./]*)?$', 1)), '.'), '^(" + "|".join(N.JUNK) + ")([._\\-][a-z0-9]{1,12})?$')"
+
+
+@query(f"SELECT id FROM skills WHERE coalesce({_JUNK_NAME}, false) OR " + " OR ".join(f"coalesce(contains(lower(substring(content, 1, 500)), '{t}'), false)" for t in N.JUNK_TEXT))
+def p14_junk(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "skills").where(N.is_junk(F.col("rel_path"), F.col("content"))).select("id")
+
+
+_POLICIES = [("cli", "write", "block"), ("*", "write", "require_approval"), ("gancho", "*none", "block"), ("*", "podar_relay", "block")]
+
+
+@query(f"""WITH p(pc, pk, acao) AS (VALUES {", ".join(map(repr, _POLICIES))}), c AS (SELECT cliente, ferramenta, CASE WHEN starts_with(ferramenta, 'buscar') THEN 'read' ELSE 'write' END AS classe, count(*) AS chamadas FROM chamadas GROUP BY ALL)
+SELECT cliente, ferramenta, chamadas, coalesce((SELECT acao FROM p WHERE pc = cliente AND pk = ferramenta), (SELECT acao FROM p WHERE pc = cliente AND pk = classe), (SELECT acao FROM p WHERE pc = '*' AND pk = ferramenta), (SELECT acao FROM p WHERE pc = '*' AND pk = classe), 'allow') AS acao FROM c""")
+def p20_policies(spark: SparkSession, d: str) -> DataFrame:
+    c = load(spark, d, "chamadas").withColumn("classe", F.when(F.col("ferramenta").startswith("buscar"), "read").otherwise("write"))
+    c = c.groupBy("cliente", "ferramenta", "classe").agg(F.count("*").alias("chamadas"))
+    return N.effective_policy(c, spark.createDataFrame(_POLICIES, "cliente string, chave string, acao string")).select("cliente", "ferramenta", "chamadas", "acao")
+
+
+@query("""WITH p AS (SELECT DISTINCT doc_id, '/' || array_to_string(list_filter(string_split(caminho, '/'), lambda x: x <> '')[1:i], '/') AS prefixo FROM documents, range(0, 12) r(i) WHERE caminho IS NOT NULL AND i <= len(list_filter(string_split(rtrim(caminho, '/'), '/'), lambda x: x <> '')))
+SELECT prefixo, count(*) AS documentos FROM p GROUP BY 1""")
+def j14_documents_below(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents lie in or below each folder."""
+    return N.containing_paths(load(spark, d, "documents"), "caminho", "doc_id").groupBy("prefixo").agg(F.count("*").alias("documentos"))
+
+
+_LEX = Q._BM_SQL  # noqa: SLF001
+
+
+@query(_LEX + ", a AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round((CASE WHEN category IS NULL THEN 0.85 ELSE 1.12 END) / (60 + posicao)::DOUBLE, 12) DESC, posicao) AS nova FROM lex JOIN skills ON doc = id) SELECT qid, doc, nova FROM a")
+def r07_authority_rerank(spark: SparkSession, d: str) -> DataFrame:
+    s = load(spark, d, "skills").select(F.col("id").alias("doc"), R.authority(F.lit("p"), F.when(F.col("category").isNull(), "session").otherwise("procedure"), F.lit(""), F.lit(False), F.array().cast("array<string>")).alias("f"))
+    return R.authority_rerank(Q._lexical(spark, d).join(s, "doc"), "f").select("qid", "doc", "nova")  # noqa: SLF001
+
+
+@query("""WITH n AS (SELECT id, list_distinct(regexp_extract_all(lower(title), '([a-z0-9]+)', 1)) AS t FROM skills), h AS (SELECT id, unnest(t) AS termo, len(t) AS n FROM n),
+f AS (SELECT termo, ln(1 + (SELECT count(*) FROM n) / count(*)) AS idf FROM h WHERE termo IN ('hook', 'cache', 'trace') GROUP BY 1)
+SELECT id, round(sum(idf) / max(n), 6) AS score FROM h JOIN f USING (termo) GROUP BY id ORDER BY score DESC, id LIMIT 20""")
+def r12_node_search(spark: SparkSession, d: str) -> DataFrame:
+    n = load(spark, d, "skills").select("id", R.plain_terms(F.col("title")).alias("termos"))
+    return N.node_search(n, ["hook", "cache", "trace"])
+
+
+@query("SELECT nota, sum(CASE WHEN valor IS NULL OR trim(valor) = '' THEN 0 ELSE 1 END)::BIGINT AS bons, count(*) FILTER (valor IS NULL OR trim(valor) = '') AS vazios FROM fatos GROUP BY nota HAVING count(*) > 1")
+def a15_feedback(spark: SparkSession, d: str) -> DataFrame:
+    """Per note, facts with and without a value: the pivoted counts of the feedback report."""
+    empty = F.coalesce(F.trim("valor") == "", F.lit(True))
+    return load(spark, d, "fatos").groupBy("nota").agg(F.sum((~empty).cast("long")).alias("bons"), F.count_if(empty).alias("vazios"), F.count("*").alias("n")).where("n > 1").drop("n")
+
+
+@query(Q._G + ", m AS (SELECT 'N' || n_nationkey AS id, n_regionkey AS c FROM nation UNION ALL SELECT 'C' || c_custkey, c_custkey % 3 FROM customer) SELECT a.c AS de, b.c AS para, count(*) AS arestas FROM e JOIN m a ON a.id = source JOIN m b ON b.id = target AND a.c <> b.c GROUP BY ALL")  # noqa: SLF001
+def a22_cross_links(spark: SparkSession, d: str) -> DataFrame:
+    m = load(spark, d, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("id"), F.col("n_regionkey").cast("long").alias("community"))
+    m = m.union(load(spark, d, "customer").select(F.concat(F.lit("C"), "c_custkey"), F.col("c_custkey") % 3))
+    return G.cross_links(Q._edges(spark, d), m)  # noqa: SLF001
+
+
+@query("SELECT n_regionkey AS community, substring(sha256(string_agg('N' || n_nationkey || chr(0), '' ORDER BY 'N' || n_nationkey)), 1, 16) AS marca FROM nation GROUP BY 1")
+def a27_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    return G.fingerprint(load(spark, d, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("id"), F.col("n_regionkey").alias("community")))
+
+
+@query(Q.ORACLE["j07_wikilinks"].replace("SELECT w.alvo", ", l AS (SELECT w.alvo", 1) + """) SELECT (SELECT count(*) FROM documents) AS notas, (SELECT count(*) FROM documents WHERE coalesce(length(text), 0) = 0) AS vazias, (SELECT count(*) FROM documents WHERE caminho IS NULL) AS sem_caminho,
+(SELECT count(*) FROM documents WHERE regexp_matches(caminho, '^/*[^/]+/+graphs/+[^/]+')) AS geradas, (SELECT count(*) FROM n WHERE alvo NOT IN (SELECT alvo FROM l)) AS orfas, (SELECT count(*) FROM l WHERE quebrado) AS links_quebrados""")
+def a23_health(spark: SparkSession, d: str) -> DataFrame:
+    return N.vault_health(load(spark, d, "documents"), Q.j07_wikilinks(spark, d))
+
+
+@query("""WITH t AS (SELECT 'spans' AS tabela, count(*) AS linhas, count(*) FILTER (status = 'error') AS erros FROM spans UNION ALL SELECT 'chamadas', count(*), count(*) FILTER (coalesce(erro, '') <> '') FROM chamadas UNION ALL SELECT 'dag_step_runs', count(*), count(*) FILTER (coalesce(exit_code, 0) <> 0) FROM dag_step_runs)
+SELECT tabela, linhas, erros FROM t""")
+def a28_bulletin(spark: SparkSession, d: str) -> DataFrame:
+    one = lambda t, bad: load(spark, d, t).agg(F.lit(t).alias("tabela"), F.count("*").alias("linhas"), F.count_if(F.coalesce(bad, F.lit(False))).alias("erros"))
+    return one("spans", F.col("status") == "error").union(one("chamadas", F.col("erro") != "")).union(one("dag_step_runs", F.col("exit_code") != 0))
+
+
+@query(Q._G + ", d AS (SELECT id, count(*) AS grau FROM (SELECT source AS id FROM e WHERE relation <> 'contains' UNION ALL SELECT target FROM e WHERE relation <> 'contains') WHERE NOT starts_with(id, 'R') GROUP BY id) SELECT id, grau FROM d ORDER BY grau DESC, id LIMIT 10")  # noqa: SLF001
+def k04_god_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return G.degrees(Q._edges(spark, d)).where(~F.col("id").startswith("R")).orderBy(F.desc("grau"), "id").limit(10).select("id", "grau")  # noqa: SLF001
+
+
+@query("SELECT projeto, max_by(doc_id, struct_pack(t := criado_em, d := doc_id)) AS escolhido FROM documents WHERE projeto IS NOT NULL AND criado_em IS NOT NULL GROUP BY 1")
+def k12_latest_per_project(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "documents").where("projeto IS NOT NULL AND criado_em IS NOT NULL").groupBy("projeto").agg(F.max_by("doc_id", F.struct("criado_em", "doc_id")).alias("escolhido"))
+
+
+@query("SELECT title, source_repo, id FROM skills QUALIFY row_number() OVER (PARTITION BY title, source_repo ORDER BY indexed_at DESC NULLS LAST, id DESC) = 1")
+def u06_last_writer(spark: SparkSession, d: str) -> DataFrame:
+    return N.latest_wins(load(spark, d, "skills"), ["title", "source_repo"], [F.desc_nulls_last("indexed_at"), F.desc("id")]).select("title", "source_repo", "id")
+
+
+@query("""WITH l AS (SELECT unnest(string_split(text, E'\\n')) AS l FROM documents WHERE lower(trim(source)) = 'log' AND text IS NOT NULL),
+w AS (SELECT l, regexp_extract(l, '^[^:=]*[:=]') AS h FROM l WHERE regexp_matches(l, '(?i)\\bwarn(ing)?\\b')),
+k AS (SELECT h || regexp_replace(regexp_replace(regexp_replace(substring(l, length(h) + 1), '0x[0-9a-fA-F]+', 'ADDR', 'g'), '/[A-Za-z0-9_./-]+', '/PATH/', 'g'), '[0-9]+', 'N', 'g') AS aviso FROM w WHERE h <> '')
+SELECT aviso, count(*) AS vezes FROM k GROUP BY 1""")
+def d19_warnings(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents").where((F.lower(F.trim("source")) == "log") & F.col("text").isNotNull())
+    w = docs.select(F.explode(F.split("text", "\n")).alias("l")).where(F.col("l").rlike(r"(?i)\bwarn(ing)?\b") & F.col("l").rlike("[:=]"))
+    return w.groupBy(X.normal_warning(F.col("l")).alias("aviso")).agg(F.count("*").alias("vezes"))
+
+
+@query(Q._G + ", r AS (SELECT id, 0 AS n FROM (SELECT source AS id FROM e UNION SELECT target FROM e) UNION SELECT e.target, r.n + 1 FROM r JOIN e ON e.source = r.id) SELECT id, CAST(max(n) AS INT) AS nivel FROM r GROUP BY id")  # noqa: SLF001
+def g17_levels(spark: SparkSession, d: str) -> DataFrame:
+    e = Q._edges(spark, d)  # noqa: SLF001
+    return G.levels(e, e.select(F.col("source").alias("id")))
+
+
+@query("SELECT rid FROM mudancas WHERE rid IS NOT NULL AND chegou_em < '2025-12-01' EXCEPT SELECT rid FROM mudancas WHERE chegou_em >= '2025-12-01'")
+def g22_vanished(spark: SparkSession, d: str) -> DataFrame:
+    m = load(spark, d, "mudancas").where("rid IS NOT NULL")
+    return m.where("chegou_em < '2025-12-01'").select("rid").distinct().join(m.where("chegou_em >= '2025-12-01'").select("rid").distinct(), "rid", "left_anti")
+
+
+@query("SELECT hour(ts)::INT AS hora, count(*) AS n FROM events WHERE minute(ts) % 15 = 0 AND hour(ts) BETWEEN 8 AND 18 AND dayofweek(ts) BETWEEN 1 AND 5 GROUP BY 1")
+def t20_cron(spark: SparkSession, d: str) -> DataFrame:
+    """Events in the minutes in which a working-hours schedule fires."""
+    return load(spark, d, "events").where(N.cron_matches(F.col("ts"), "*/15 8-18 * * 1-5")).groupBy(F.hour("ts").alias("hora")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH s AS (SELECT hash, min(em) AS em, count(*) AS n FROM consultas WHERE hash IS NOT NULL AND em IS NOT NULL GROUP BY 1)
+SELECT hash, CASE WHEN exp(-0.02 * greatest((1800000000 - em) / 86400.0, 0)) + 0.6 * ln(1.0 + n) * exp(-0.04 * greatest((1800000000 - em) / 86400.0, 0)) >= 0.20 THEN 'manter' ELSE 'compactar' END AS plano FROM s""")
+def t24_forgetting_plan(spark: SparkSession, d: str) -> DataFrame:
+    s = load(spark, d, "consultas").where("hash IS NOT NULL AND em IS NOT NULL").groupBy("hash").agg(F.min("em").alias("em"), F.count("*").alias("n"))
+    age = (F.lit(1_800_000_000.0) - F.col("em")) / 86400.0
+    f = F.lit(False)
+    return s.select("hash", U.retention_plan(U.retention(age, F.col("n"), age), F.lit("episodic"), f, f, f).alias("plano"))
+
+
+@query()
+def t05_sections(spark: SparkSession, d: str) -> DataFrame:
+    return N.sections(load(spark, d, "skills"), "id", "content")
+
+
+@query()
+def t25_reading_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Title, first 200 characters or all of each skill, under 20,000 characters a repository, newest first."""
+    s = load(spark, d, "skills").where("content IS NOT NULL AND source_repo IS NOT NULL")
+    s = s.select("source_repo", (-F.unix_seconds(F.col("indexed_at").cast("timestamp"))).alias("o"), "id", F.coalesce(F.length("title"), F.lit(0)).alias("l1"), F.least(F.length("content"), F.lit(200)).alias("l2"), F.length("content").alias("l3"))
+    return N.budget_levels(s, "source_repo", ["o", "id"], ["l1", "l2", "l3"], 20_000).select("source_repo", "id", "nivel")
+
+
+@query()
+def g28_labels(spark: SparkSession, d: str) -> DataFrame:
+    return N.shortest_suffixes(load(spark, d, "skills").where("rel_path IS NOT NULL"), "id", "rel_path")
+
+
+@query("""WITH v AS (SELECT status, count(*) AS n FROM spans GROUP BY 1), c AS (SELECT *, sum(n) OVER (ORDER BY n DESC, status NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS antes, sum(n) OVER () AS total FROM v)
+SELECT status, n FROM c WHERE coalesce(antes, 0) >= 0.8 * total""")
+def t36_rare_status(spark: SparkSession, d: str) -> DataFrame:
+    """Status values outside the head that makes up four fifths of all rows."""
+    v = load(spark, d, "spans").groupBy("status").agg(F.count("*").alias("n"))  # a handful of values
+    w = Window.orderBy(F.desc("n"), F.asc_nulls_last("status")).rowsBetween(Window.unboundedPreceding, -1)
+    c = v.withColumn("antes", F.coalesce(F.sum("n").over(w), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(1))))
+    return c.where(F.col("antes") >= 0.8 * F.col("total")).select("status", "n")
