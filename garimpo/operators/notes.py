@@ -42,14 +42,14 @@ def note_kind(path: Column) -> Column:
 
 def note_subkind(path: Column, content: Column) -> Column:
     p, head = F.lower(path), F.substring(F.coalesce(content, F.lit("")), 1, 600)
-    stem = F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?$", 1)
+    stem = F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
     talk = p.contains("transcript-") | head.contains("session-transcript") | stem.rlike(r"(?i)(^|[-_ (])transcri[cç][aã]o\)?$")
     return F.when(note_kind(path) == "generated", "generated").when(talk, "transcript").when(p.contains("chat-"), "chat").otherwise("curated")
 
 
 def is_junk(path: Column, content: Column) -> Column:
     """Boilerplate by file name, or by a license text in the first 500 characters; never null."""
-    stem = F.ltrim(F.lower(F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?$", 1)), F.lit("."))
+    stem = F.ltrim(F.lower(F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)), F.lit("."))
     head = F.lower(F.substring(content, 1, 500))
     named = stem.rlike(r"^(" + "|".join(JUNK) + r")([._\-][a-z0-9]{1,12})?$")
     hit = named

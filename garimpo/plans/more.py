@@ -38,12 +38,12 @@ def p11_client_from_path(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH d AS (SELECT doc_id, caminho, substring(coalesce(text, ''), 1, 600) AS h, list_filter(string_split(caminho, '/'), lambda x: x <> '') AS p FROM documents)
-SELECT doc_id, CASE WHEN len(p) >= 3 AND p[2] = 'graphs' THEN 'generated' WHEN contains(lower(caminho), 'transcript-') OR contains(h, 'session-transcript') OR regexp_matches(regexp_extract(caminho, '([^/]*?)(?:\\.[^./]*)?$', 1), '(?i)(^|[-_ (])transcri[cç][aã]o\\)?$') THEN 'transcript' WHEN contains(lower(caminho), 'chat-') THEN 'chat' ELSE 'curated' END AS subtipo FROM d""")
+SELECT doc_id, CASE WHEN len(p) >= 3 AND p[2] = 'graphs' THEN 'generated' WHEN contains(lower(caminho), 'transcript-') OR contains(h, 'session-transcript') OR regexp_matches(regexp_extract(caminho, '([^/]+?)(?:\\.[^./]*)?$', 1), '(?i)(^|[-_ (])transcri[cç][aã]o\\)?$') THEN 'transcript' WHEN contains(lower(caminho), 'chat-') THEN 'chat' ELSE 'curated' END AS subtipo FROM d""")
 def p13_subkinds(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").select("doc_id", N.note_subkind(F.col("caminho"), F.col("text")).alias("subtipo"))
 
 
-_JUNK_NAME = "regexp_matches(ltrim(lower(regexp_extract(rel_path, '([^/]*?)(?:\\.[^./]*)?$', 1)), '.'), '^(" + "|".join(N.JUNK) + ")([._\\-][a-z0-9]{1,12})?$')"
+_JUNK_NAME = "regexp_matches(ltrim(lower(regexp_extract(rel_path, '([^/]+?)(?:\\.[^./]*)?$', 1)), '.'), '^(" + "|".join(N.JUNK) + ")([._\\-][a-z0-9]{1,12})?$')"
 
 
 @query(f"SELECT id FROM skills WHERE coalesce({_JUNK_NAME}, false) OR " + " OR ".join(f"coalesce(contains(lower(substring(content, 1, 500)), '{t}'), false)" for t in N.JUNK_TEXT))
