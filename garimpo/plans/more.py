@@ -10,6 +10,7 @@ from garimpo.operators import graph as G
 from garimpo.operators import notes as N
 from garimpo.operators import ranking as R
 from garimpo.operators import usage as U
+from garimpo.operators.resolution import resolve
 from garimpo.plans import reference as Q
 from garimpo.runtime import load
 
@@ -196,3 +197,16 @@ def t36_rare_status(spark: SparkSession, d: str) -> DataFrame:
     w = Window.orderBy(F.desc("n"), F.asc_nulls_last("status")).rowsBetween(Window.unboundedPreceding, -1)
     c = v.withColumn("antes", F.coalesce(F.sum("n").over(w), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(1))))
     return c.where(F.col("antes") >= 0.8 * F.col("total")).select("status", "n")
+
+
+@query()
+def d10_resolved_subjects(spark: SparkSession, d: str) -> DataFrame:
+    """Subjects of facts, as they are written, joined by their labels."""
+    return resolve(load(spark, d, "fatos").select("sujeito").distinct(), "sujeito", "sujeito")
+
+
+@query("SELECT doc_id, regexp_matches(text, '\\bsk-ant-[A-Za-z0-9_-]{20,}|\\bAKIA[0-9A-Z]{16}\\b|\\bgh[pousr]_[A-Za-z0-9]{30,}') AS chave FROM documents WHERE text IS NOT NULL")
+def t10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in which redaction covers a provider's key."""
+    t = load(spark, d, "documents").where("text IS NOT NULL")
+    return t.select("doc_id", (X.redact(F.col("text")).rlike(r"\[REDIGIDO:(anthropic|aws|github):") & ~F.col("text").rlike(r"\[REDIGIDO:(anthropic|aws|github):")).alias("chave"))
