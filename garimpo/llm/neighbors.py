@@ -63,11 +63,11 @@ class Books:
     worst: float = 0.0
 
     @classmethod
-    def fit(cls, x: np.ndarray, cells: int, seed: int = 1) -> Books:
+    def fit(cls, x: np.ndarray, cells: int, depth: int = BOOKS, seed: int = 1) -> Books:
         rng = np.random.default_rng(seed)
         side = max(1, round(cells**0.5))
         rest, books = x.astype(np.float32), []
-        for k in [side, side, *[ENTRIES] * BOOKS]:
+        for k in [side, side, *[ENTRIES] * depth]:
             c = kmeans(rest, k, rng)
             rest = rest - c[np.argmin((c * c).sum(1) - 2 * rest @ c.T, axis=1)]
             books.append(c.astype(np.float32))
@@ -243,12 +243,13 @@ def _candidates(reps: DataFrame, books: list[Books], least: float | None, rerank
     return cut.repartition("g", "salt").sortWithinPartitions("g", "salt", "query").mapInArrow(_search(books, least, rerank), "a bigint, b bigint").distinct()
 
 
-def neighbors(df: DataFrame, col: str, key: str, vec: str, k: int = 5, least: float | None = None, rerank: int = RERANK, cell: int = CELL, probes: int = PROBES) -> DataFrame:
+def neighbors(df: DataFrame, col: str, key: str, vec: str, k: int = 5, least: float | None = None, rerank: int = RERANK, cell: int = CELL, probes: int = PROBES, depth: int = BOOKS) -> DataFrame:
     """``(r, vizinho, cos, ordem)``: up to ``k`` most similar vectors of the same collection, for every usable vector.
 
     Ties go to the smaller key. With ``least`` only neighbors of at least that cosine come out, which spares the
     comparison of others. Equal vectors are each other's neighbors at cosine 1. Keys are unique over all collections.
-    Approximate: recall is measured in the tests. Empty tables, and collections of one vector, give no rows.
+    ``depth`` books after those of the cell, ``probes`` cells and ``rerank`` exact comparisons trade work for recall: without
+    a threshold, finer codes and fewer comparisons are the cheaper way. Approximate: recall is measured in the tests. Empty tables, and collections of one vector, give no rows.
     """
     rows, cols = usable(df, col, key, vec)
     spark = df.sparkSession
@@ -261,7 +262,7 @@ def neighbors(df: DataFrame, col: str, key: str, vec: str, k: int = 5, least: fl
         batch, cost = [], 0
         while at < len(cols) and (not batch or cost < MODEL_BYTES):
             side = max(1, round((cols[at][2] / cell) ** 0.5))
-            cost += 4 * cols[at][1] * (2 * side + BOOKS * ENTRIES)
+            cost += 4 * cols[at][1] * (2 * side + depth * ENTRIES)
             batch.append(cols[at])
             at += 1
         named = spark.createDataFrame([(c, i, min(1.0, FIT / n)) for i, (c, _, n) in enumerate(batch)], "col string, c int, share double")
@@ -271,7 +272,7 @@ def neighbors(df: DataFrame, col: str, key: str, vec: str, k: int = 5, least: fl
         for i, (_, d, n) in enumerate(batch):
             x = drawn.vec[drawn.c == i]
             x = _unit(np.concatenate(x.to_list()), len(x)) if len(x) else np.ones((1, d), np.float32) / d**0.5
-            books.append(Books.fit(x, max(1, round(n / cell))))
+            books.append(Books.fit(x, max(1, round(n / cell)), depth))
         passes.append(checkpoint(_candidates(own, books, least, rerank, probes)))
     pairs = passes[0] if passes else spark.createDataFrame([], "a bigint, b bigint")
     for p in passes[1:]:

@@ -18,7 +18,7 @@ def _data(n=3000, d=32):
 
 def test_recall_against_brute_force(spark):
     x, u = _data()
-    got = neighbors(_df(spark, [("a", i, v.tolist()) for i, v in enumerate(x)]), "col", "rid", "vec", k=5, probes=24, rerank=64).collect()
+    got = neighbors(_df(spark, [("a", i, v.tolist()) for i, v in enumerate(x)]), "col", "rid", "vec", k=5, depth=24, probes=20, rerank=10).collect()
     mine = {}
     for r in got:
         mine.setdefault(r.r, set()).add(r.vizinho)
