@@ -4,7 +4,8 @@ Method: additive quantisation. A vector is approximated by a sum of one entry fr
 codebooks, trained on residuals and chosen by beam search; the norm of the sum is stored beside the codes. The
 first two books also name the cell a vector lies in. Every vector goes with its full precision to its own cell as a query,
 and with its codes of a few bytes to the cells nearest to it as a candidate. Queries score candidates by table
-lookups; the best are compared exactly.
+lookups; the best are compared exactly. Without a limit on exact comparisons, the candidates go with full precision too, and a query
+is compared exactly with all that reach its cell; cells are larger then, and the cells a candidate goes to grow with their number.
 
 Books are fitted on a bounded sample of each collection (``FIT`` vectors); every vector is indexed and every
 vector is a query. Equal vectors form one class and are indexed once.
@@ -26,8 +27,10 @@ from garimpo.runtime import checkpoint
 FIT = 16_384
 #: Books after the two of the cell, entries of each, beams of the encoding.
 BOOKS, ENTRIES, BEAMS = 8, 64, 4
-#: Vectors a cell should hold, cells a vector is a candidate in, first books' entries looked into for them.
+#: Vectors a cell should hold, cells a vector is a candidate in, first books' entries looked into for them at least.
 CELL, PROBES, FIRST = 256, 10, 10
+#: The same two where all candidates of a cell are compared exactly; at least so many cells, and as many as the root of their number.
+WIDE_CELL, LEAST_PROBES = 4096, 8
 #: Candidates of a query that are compared exactly.
 RERANK = 32
 #: Queries of one cell that one task takes at a time; a larger cell is cut into blocks of queries.
@@ -82,7 +85,7 @@ class Books:
     def cells_of(self, x: np.ndarray, probes: int) -> np.ndarray:
         """Numbers of the cells nearest to each vector, the nearest first; -1 where there are fewer."""
         a, b = self.books[:2]
-        first = min(FIRST, len(a))
+        first = min(max(FIRST, probes), len(a))
         da = (a * a).sum(1) - 2 * x @ a.T
         top = np.argpartition(da, first - 1, axis=1)[:, :first]
         db = (b * b).sum(1) - 2 * x @ b.T
@@ -167,6 +170,85 @@ def _index(books: list[Books], probes: int):  # noqa: ANN202
     return run
 
 
+def _index_whole(books: list[Books], probes: int | None):  # noqa: ANN202
+    """``(g, query, r, vec)``: every vector as a query in its own cell, as a candidate in the cells nearest to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.asarray(batch.column(0))
+            for c in np.unique(ids):
+                at = np.flatnonzero(ids == c)
+                for i in range(0, len(at), 1000):
+                    part = pa.array(at[i : i + 1000])
+                    vec = batch.column(2).take(part)
+                    x = _unit(np.asarray(vec.flatten()), len(part))
+                    cells = books[c].cells_of(x, grown(books[c]) if probes is None else probes)
+                    hit = np.argwhere(cells >= 0)
+                    g = np.r_[cells[:, 0], cells[hit[:, 0], hit[:, 1]]].astype(np.int64) | (int(c) << 40)
+                    who = pa.array(np.r_[np.arange(len(part)), hit[:, 0]])
+                    full = pa.array([v.tobytes() for v in np.asarray(vec.flatten()).astype(np.float32).reshape(len(part), -1)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.arange(len(g)) < len(part)), batch.column(1).take(part).take(who), full.take(who)], ["g", "query", "r", "vec"])
+
+    return run
+
+
+def grown(b: Books) -> int:
+    """Cells a vector is a candidate in, growing with the cells of its collection."""
+    return max(LEAST_PROBES, len(b.books[0]))
+
+
+def _search_whole(best: int):  # noqa: ANN202
+    """Streams rows sorted by cell, queries before candidates: the ``best`` candidates of each query with their cosine.
+
+    The queries of a block are held, candidates pass by a batch at a time.
+    """
+
+    def merge(q: dict, x: np.ndarray, cr: np.ndarray) -> None:
+        u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        step = max(1, min(512, 4_000_000 // len(cr)))
+        for i in range(0, len(q["r"]), step):
+            z = slice(i, i + step)
+            s = q["u"][z] @ u.T
+            s[q["r"][z, None] == cr[None, :]] = -9
+            k = min(best, len(cr))
+            top = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < len(cr) else np.tile(np.arange(k), (len(s), 1))
+            cos = np.einsum("qd,qkd->qk", q["x"][z], x[top])
+            cos[np.take_along_axis(s, top, 1) == -9] = -9
+            cos, who = np.concatenate([q["cos"][z], cos], axis=1), np.concatenate([q["who"][z], cr[top]], axis=1)
+            keep = np.argpartition(-cos, best - 1, axis=1)[:, :best]
+            q["cos"][z], q["who"][z] = np.take_along_axis(cos, keep, 1), np.take_along_axis(who, keep, 1)
+
+    def found(q: dict) -> pa.RecordBatch:
+        a, b, cos = np.repeat(q["r"], best), q["who"].reshape(-1), q["cos"].reshape(-1)
+        ok = cos > -9
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok]), pa.array(cos[ok])], ["a", "b", "cos"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, q = None, [], None
+        for batch in batches:
+            g, salt, query, r = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            cut = np.flatnonzero((g[1:] != g[:-1]) | (salt[1:] != salt[:-1]) | (query[1:] != query[:-1])) + 1
+            for a, z in zip(map(int, np.r_[0, cut]), map(int, np.r_[cut, len(g)])):
+                if (here := (int(g[a]), int(salt[a]))) != cell:
+                    if q is not None:
+                        yield found(q)
+                    cell, held, q = here, [], None
+                x = np.frombuffer(b"".join(batch.column(4).slice(a, z - a).to_pylist()), np.float32).reshape(z - a, -1).astype(np.float64)
+                if query[a]:
+                    held.append((r[a:z].copy(), x / np.linalg.norm(x, axis=1, keepdims=True)))
+                    continue
+                if held:
+                    qr, qx = (np.concatenate(v) for v in zip(*held))
+                    q, held = {"r": qr, "x": qx, "u": qx.astype(np.float32), "cos": np.full((len(qr), best), -9.0), "who": np.zeros((len(qr), best), np.int64)}, []
+                if q is not None:
+                    merge(q, x, r[a:z])
+        if q is not None:
+            yield found(q)
+
+    return run
+
+
 def _search(books: list[Books], least: float | None, rerank: int):  # noqa: ANN202
     """Streams rows sorted by cell, candidates before queries: the best candidates of each query."""
 
@@ -232,25 +314,40 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(dot / np.maximum(np.sqrt(xx) * np.sqrt(yy), 1e-300))], ["a", "b", "cos"])
 
 
-def _candidates(reps: DataFrame, books: list[Books], least: float | None, rerank: int, probes: int) -> DataFrame:
-    """Pairs (a, b) worth an exact comparison; ``reps``: (c, r, vec)."""
-    rows = checkpoint(reps.select("c", "r", "vec").mapInArrow(_index(books, probes), "g bigint, query boolean, r bigint, code binary, norm float, unit binary"))
-    # a cell of very many queries is cut into blocks; all its candidates go to each
+def _blocks(rows: DataFrame, *values: str) -> DataFrame:
+    """``rows`` with a number of the block; a cell of very many queries is cut into blocks, all its candidates go to each."""
     large = _small(checkpoint(rows.where("query").groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")))
     cut = rows.join(large, "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     salts = F.when(F.col("query"), F.array(F.pmod(F.xxhash64("r"), F.col("blocks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cut = cut.select("g", F.explode(salts).alias("salt"), "query", "r", "code", "norm", "unit")
+    return cut.select("g", F.explode(salts).alias("salt"), "query", "r", *values)
+
+
+def _compared(reps: DataFrame, books: list[Books], best: int, probes: int | None) -> DataFrame:
+    """Pairs (a, b, cos): the ``best`` of all candidates of each query's cell; ``reps``: (c, r, vec)."""
+    rows = reps.select("c", "r", "vec").mapInArrow(_index_whole(books, probes), "g bigint, query boolean, r bigint, vec binary")
+    cut = _blocks(rows, "vec").repartition("g", "salt").sortWithinPartitions("g", "salt", F.desc("query"))
+    return cut.mapInArrow(_search_whole(best), "a bigint, b bigint, cos double").groupBy("a", "b").agg(F.max("cos").alias("cos"))
+
+
+def _candidates(reps: DataFrame, books: list[Books], least: float | None, rerank: int, probes: int) -> DataFrame:
+    """Pairs (a, b) worth an exact comparison; ``reps``: (c, r, vec)."""
+    rows = checkpoint(reps.select("c", "r", "vec").mapInArrow(_index(books, probes), "g bigint, query boolean, r bigint, code binary, norm float, unit binary"))
+    cut = _blocks(rows, "code", "norm", "unit")
     return cut.repartition("g", "salt").sortWithinPartitions("g", "salt", "query").mapInArrow(_search(books, least, rerank), "a bigint, b bigint").distinct()
 
 
-def neighbors(df: DataFrame, col: str, key: str, vec: str, k: int = 5, least: float | None = None, rerank: int = RERANK, cell: int = CELL, probes: int = PROBES, depth: int = BOOKS) -> DataFrame:
+def neighbors(df: DataFrame, col: str, key: str, vec: str, k: int = 5, least: float | None = None, rerank: int | None = RERANK, cell: int = CELL, probes: int | None = PROBES, depth: int = BOOKS) -> DataFrame:
     """``(r, vizinho, cos, ordem)``: up to ``k`` most similar vectors of the same collection, for every usable vector.
 
     Ties go to the smaller key. With ``least`` only neighbors of at least that cosine come out, which spares the
     comparison of others. Equal vectors are each other's neighbors at cosine 1. Keys are unique over all collections.
     ``depth`` books after those of the cell, ``probes`` cells and ``rerank`` exact comparisons trade work for recall: without
-    a threshold, finer codes and fewer comparisons are the cheaper way. Approximate: recall is measured in the tests. Empty tables, and collections of one vector, give no rows.
+    a threshold, finer codes and fewer comparisons are the cheaper way. With ``rerank`` None every candidate in a query's cell is compared
+    exactly and codes are not used; only then ``probes`` may be None, to grow with the cells. Approximate: recall is measured in the tests. Empty tables, and collections of one vector, give no rows.
     """
+    if probes is None and rerank is not None:
+        raise ValueError("probes must be given with rerank")
+    depth = 0 if rerank is None else depth
     rows, cols = usable(df, col, key, vec)
     spark = df.sparkSession
     hashed = rows.select("col", "r", F.xxhash64("vec").alias("h0"), F.xxhash64(F.lit(3), "vec").alias("h1"))
@@ -273,14 +370,17 @@ def neighbors(df: DataFrame, col: str, key: str, vec: str, k: int = 5, least: fl
             x = drawn.vec[drawn.c == i]
             x = _unit(np.concatenate(x.to_list()), len(x)) if len(x) else np.ones((1, d), np.float32) / d**0.5
             books.append(Books.fit(x, max(1, round(n / cell)), depth))
-        passes.append(checkpoint(_candidates(own, books, least, rerank, probes)))
-    pairs = passes[0] if passes else spark.createDataFrame([], "a bigint, b bigint")
+        passes.append(checkpoint(_compared(own, books, 2 * k, probes) if rerank is None else _candidates(own, books, least, rerank, probes)))
+    pairs = passes[0] if passes else spark.createDataFrame([], "a bigint, b bigint" + ", cos double" * (rerank is None))
     for p in passes[1:]:
         pairs = pairs.union(p)
-    need = checkpoint(pairs.select(F.col("a").alias("r")).union(pairs.select("b")).distinct())
-    got = rows.join(_small(need), "r", "left_semi").select("r", "vec")
-    both = pairs.join(got.select(F.col("r").alias("a"), F.col("vec").alias("x")), "a").join(got.select(F.col("r").alias("b"), F.col("vec").alias("y")), "b")
-    exact = both.select("a", "b", "x", "y").mapInArrow(_exact, "a bigint, b bigint, cos double")
+    if rerank is None:
+        exact = pairs
+    else:
+        need = checkpoint(pairs.select(F.col("a").alias("r")).union(pairs.select("b")).distinct())
+        got = rows.join(_small(need), "r", "left_semi").select("r", "vec")
+        both = pairs.join(got.select(F.col("r").alias("a"), F.col("vec").alias("x")), "a").join(got.select(F.col("r").alias("b"), F.col("vec").alias("y")), "b")
+        exact = both.select("a", "b", "x", "y").mapInArrow(_exact, "a bigint, b bigint, cos double")
     if least is not None:
         exact = exact.where(F.col("cos") >= least)
     exact = checkpoint(exact)

@@ -16,7 +16,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_neighbors(spark: SparkSession, d: str) -> DataFrame:
     """The 5 most similar vectors of every usable vector."""
-    return neighbors.neighbors(load(spark, d, "chunks"), "col", "rid", "vec", k=5, depth=24, probes=20, rerank=10).select(F.col("r").alias("rid"), "vizinho", "cos", "ordem")
+    return neighbors.neighbors(load(spark, d, "chunks"), "col", "rid", "vec", k=5, rerank=None, cell=neighbors.WIDE_CELL, probes=None).select(F.col("r").alias("rid"), "vizinho", "cos", "ordem")
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
