@@ -574,9 +574,16 @@ def t01_fixed_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT id, substring(sha1(trim(regexp_replace(lower(texto), '\\s+', ' ', 'g'))), 1, 16) AS marca FROM consultas WHERE texto IS NOT NULL AND NOT regexp_matches(texto, '[^\\x00-\\x7f]')")
 def t47_query_hash(spark: SparkSession, d: str) -> DataFrame:
+    """ASCII texts only, as its SQL has them; ``t47_query_hash_all`` hashes every text."""
     return load(spark, d, "consultas").where(F.col("texto").isNotNull() & (F.octet_length("texto") == F.length("texto"))).select("id", X.query_hash(F.col("texto")).alias("marca"))
 
 
+@query()
+def t47_query_hash_all(spark: SparkSession, d: str) -> DataFrame:
+    """The mark of every text that is not null, accented ones too."""
+    return load(spark, d, "consultas").where(F.col("texto").isNotNull()).select("id", X.query_hash(F.col("texto")).alias("marca"))
+
+
 @query("SELECT id, array_to_string(list_filter(regexp_extract_all(lower(regexp_replace(regexp_replace(title, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')), '([a-z0-9]+)', 1), lambda x: length(x) > 1), ' ') AS termos FROM skills")
 def t08_identifier_terms(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "skills").select("id", F.array_join(X.identifier_terms(F.col("title")), " ").alias("termos"))

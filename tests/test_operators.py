@@ -1,6 +1,8 @@
 """The reference's operator families on literal rows with known answers."""
 
+import hashlib
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from garimpo.operators import sequences as W
 from garimpo.operators import sets as S
 from garimpo.operators import usage as U
 from garimpo.operators.components import components
+from garimpo.plans import reference
 
 META = ['{"k": 2}', '{"k": "2"}', '{"k": true}', '{"k": 1}', '{"k": 2.5, "f": "A"}', '{"f": "B"}', None, "no json"]
 
@@ -191,3 +194,10 @@ def test_texts(spark):
     df = spark.createDataFrame([(1, "n", "x" * 7000), (2, "m", "y"), (3, "o", ""), (4, "p", None)], "k int, n string, t string")
     got = [(r.k, r.chunk_id, r.inicio, len(r.chunk)) for r in X.fixed_chunks(df, "k", "n", "t").orderBy("k", "i").collect()]
     assert got == [(1, "n::chunk_0", 0, 3072), (1, "n::chunk_1", 2872, 3072), (1, "n::chunk_2", 5744, 1256), (2, "m", 0, 1)]
+
+
+def test_every_text_is_hashed(spark, tmp_path):
+    texts = ["plain  Text", "Não há  RAZÃO", "ÉTÉ\tça va", "größer ÑANDÚ", "索引と  記憶", "👩‍💻 ok", "", "  ", None]
+    spark.createDataFrame(list(enumerate(texts)), "id long, texto string").write.parquet(f"{tmp_path}/consultas.parquet")
+    want = {i: hashlib.sha1(re.sub(r"\s+", " ", t.lower()).strip(" ").encode()).hexdigest()[:16] for i, t in enumerate(texts) if t is not None}
+    assert {r.id: r.marca for r in reference.t47_query_hash_all(spark, str(tmp_path)).collect()} == want
