@@ -111,8 +111,11 @@ def filled_cells(compacted: DataFrame, types: dict[str, str] | None = None) -> D
     return cells_of(compacted).select("entidade", "coluna", read_cell(F.col("coluna"), F.col("valor"), types).alias("valor")).where(F.col("valor").isNotNull())
 
 
-def wide_table(compacted: DataFrame, columns: list[str], types: dict[str, str] | None = None) -> DataFrame:
-    """One row per entity, one typed column for each of ``columns`` (integer as decimal(38,0), decimal as decimal(38,2))."""
+def wide_table(compacted: DataFrame, columns: list[str], types: dict[str, str] | None = None, rest: str | None = None) -> DataFrame:
+    """One row per entity, one typed column for each of ``columns`` (integer as decimal(38,0), decimal as decimal(38,2)).
+
+    ``rest`` names a map from column to text that holds the filled cells of all other columns; without it they are left out.
+    """
     types = COLUMN_TYPES if types is None else types
     sql = {INTEGER: "decimal(38,0)", BOOLEAN: "boolean", DECIMAL: "decimal(38,2)", TEXT: "string"}
 
@@ -120,4 +123,9 @@ def wide_table(compacted: DataFrame, columns: list[str], types: dict[str, str] |
         raw = F.try_element_at("celulas", F.lit(c))["valor"]
         return read_cell(F.lit(c), raw, types).try_cast(sql[types.get(c, TEXT)]).alias(c)
 
-    return compacted.select("entidade", *[cell(c) for c in columns])
+    out = [cell(c) for c in columns]
+    if rest is not None:
+        other = F.map_filter("celulas", lambda k, v: ~k.isin(columns))
+        read = F.transform_values(other, lambda k, v: read_cell(k, v["valor"], types))
+        out.append(F.map_filter(read, lambda k, v: v.isNotNull()).alias(rest))
+    return compacted.select("entidade", *out)

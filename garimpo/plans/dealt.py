@@ -58,16 +58,23 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return filled_cells(compacted_facts(spark, d))
 
 
-#: Columns of the reported wide table: the closed vocabulary of attributes that have a type or are frequent.
+#: Columns of their own in the reported wide tables: the attributes that have a type and some others; the set of attributes is open.
 WIDE_COLUMNS = ["port", "version", "host", "config_path", "model", "url", "path", "repository", "owner", "schedule", "setting_enabled", "setting_cache", "setting_timeout_ms", "setting_workers", "setting_temperature"]
 
 
 def p5_wide(spark: SparkSession, d: str) -> DataFrame:
+    """The listed columns only, as its SQL has them; ``p5_wide_all`` holds every cell."""
     w = wide_table(compacted_facts(spark, d), WIDE_COLUMNS)
     return w.select("entidade", *[F.col(c).cast("string").alias(c) for c in WIDE_COLUMNS])
 
 
-QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_merged": p4_merged, "p5_found": p5_found, "p5_wide": p5_wide}
+def p5_wide_all(spark: SparkSession, d: str) -> DataFrame:
+    """One row per entity: the listed columns, and all other filled cells in the map ``outras``."""
+    w = wide_table(compacted_facts(spark, d), WIDE_COLUMNS, rest="outras")
+    return w.select("entidade", *[F.col(c).cast("string").alias(c) for c in WIDE_COLUMNS], "outras")
+
+
+QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_merged": p4_merged, "p5_found": p5_found, "p5_wide": p5_wide, "p5_wide_all": p5_wide_all}
 
 _LAST = """
 mud AS (SELECT col, rid, seq, chegou_em, lower(trim(op, E' \\t\\r\\n')) AS op FROM mudancas WHERE seq IS NOT NULL AND rid IS NOT NULL),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from garimpo.operators.changes import apply_changes, latest_changes
 from garimpo.operators.orphans import Children, Parents, orphan_references, orphan_report
 from garimpo.operators.wide import cells_of, compact, filled_cells, to_deltas, wide_table
+from garimpo.plans import dealt
 
 T0 = dt.datetime(2025, 9, 1)
 T1 = dt.datetime(2025, 10, 1)
@@ -102,3 +103,12 @@ def test_runs_compact_in_any_order(spark):
 def test_ties_take_the_greatest_value(spark):
     rows = [("n", "2025-01-01", "s", "host", v) for v in ("a", "c", None, "b")]
     assert _cells(spark, rows) == _cells(spark, rows[::-1]) == {("s", "host"): "c"}
+
+
+def test_wide_table_holds_every_cell(spark, tmp_path):
+    facts = [("s", "port", "x 080"), ("s", "Setting: Retries", "3"), ("s", "command", "`run`"), ("s", "device", " "), ("t", "runtime", "py")]
+    spark.createDataFrame([("n", "2025-01-01", *f) for f in facts], "nota string, data string, sujeito string, atributo string, valor string").write.parquet(f"{tmp_path}/fatos.parquet")
+    w = {r.entidade: r.asDict() for r in dealt.p5_wide_all(spark, str(tmp_path)).collect()}
+    cells = {(e, c, v) for e, r in w.items() for c, v in [*((c, r[c]) for c in dealt.WIDE_COLUMNS), *r["outras"].items()] if v is not None}
+    assert cells == {tuple(r) for r in dealt.p5_found(spark, str(tmp_path)).collect()}
+    assert w["s"]["port"] == "80" and w["s"]["outras"] == {"setting_retries": "3", "command": "run"} and w["t"]["outras"] == {"runtime": "py"}
