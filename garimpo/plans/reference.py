@@ -440,12 +440,20 @@ def u01_graph_diff(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH b AS (SELECT id, hash, confianca, melhor FROM consultas WHERE id % 2 = 0), x AS (SELECT id, hash, nullif(confianca, '') AS confianca, CAST(NULL AS DOUBLE) AS melhor FROM consultas WHERE id % 3 = 0)
 SELECT id, coalesce(x.hash, b.hash) AS hash, coalesce(x.confianca, b.confianca) AS confianca, coalesce(x.melhor, b.melhor) AS melhor FROM b FULL JOIN x USING (id)""")
 def u08_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """Every third query merged into every second one: two overlapping tables."""
+    """Every third query merged into every second one, as its SQL has them; ``u08_upsert_all`` takes whole tables."""
     c = load(spark, d, "consultas")
     delta = c.where("id % 3 = 0").select("id", "hash", F.nullif("confianca", F.lit("")).alias("confianca"))
     return S.upsert(c.where("id % 2 = 0").select("id", "hash", "confianca", "melhor"), delta, ["id"])
 
 
+@query("""WITH x AS (SELECT consulta AS id, CAST(count(DISTINCT caminho) AS INT) AS n FROM devolvidas WHERE consulta > 0 GROUP BY 1)
+SELECT id, b.hash, b.confianca, b.melhor, coalesce(x.n, b.n) AS n FROM consultas b FULL JOIN x USING (id)""")
+def u08_upsert_all(spark: SparkSession, d: str) -> DataFrame:
+    """All queries, merged with the number of different paths returned to each; lost queries come out with that alone."""
+    n = load(spark, d, "devolvidas").where("consulta > 0").groupBy(F.col("consulta").alias("id")).agg(F.countDistinct("caminho").cast("int").alias("n"))
+    return S.upsert(load(spark, d, "consultas").select("id", "hash", "confianca", "melhor", "n"), n, ["id"])
+
+
 @query("SELECT id, source_repo FROM skills WHERE NOT coalesce(category IS NOT NULL AND char_count < 1000 AND source_repo IN (SELECT source_repo FROM skills WHERE source_repo IS NOT NULL GROUP BY 1 HAVING count(*) > 10), false)")
 def u09_delete(spark: SparkSession, d: str) -> DataFrame:
     s = load(spark, d, "skills")

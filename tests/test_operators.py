@@ -201,3 +201,10 @@ def test_every_text_is_hashed(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "id long, texto string").write.parquet(f"{tmp_path}/consultas.parquet")
     want = {i: hashlib.sha1(re.sub(r"\s+", " ", t.lower()).strip(" ").encode()).hexdigest()[:16] for i, t in enumerate(texts) if t is not None}
     assert {r.id: r.marca for r in reference.t47_query_hash_all(spark, str(tmp_path)).collect()} == want
+
+
+def test_upsert_of_whole_tables(spark, tmp_path):
+    spark.createDataFrame([(i, f"h{i}", "alta", 0.5, i) for i in range(1, 7)], "id long, hash string, confianca string, melhor double, n int").write.parquet(f"{tmp_path}/consultas.parquet")
+    spark.createDataFrame([(5, "a"), (5, "b"), (5, "b"), (9, "a"), (0, "a"), (None, "a")], "consulta long, caminho string").write.parquet(f"{tmp_path}/devolvidas.parquet")
+    got = rows(reference.u08_upsert_all(spark, str(tmp_path)))
+    assert got == [(i, f"h{i}", "alta", 0.5, 2 if i == 5 else i) for i in range(1, 7)] + [(9, None, None, None, 1)]
