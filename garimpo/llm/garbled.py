@@ -33,15 +33,17 @@ SINGLE_BYTE = [(w, r) for w in ("cp1252", "mac_roman", "cp850") for r in ("weste
 GOAL = frozenset("àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœßÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝŸŒ‘’“”«»—–…¿¡°")
 #: Continuation bytes that also end a word naturally, as they look in western text.
 CLOSING = frozenset("\xa0»”’‘“„‚…–—›‹«•·­")
-#: A repaired word must be found in so many times as many texts as the word itself.
+#: A repaired word must be found in so many times as many rows, or different texts, as the word itself.
 RATIO = 5
-#: A repaired word must be found in so many texts at least.
+#: A repaired word must be found in so many rows, or different texts, at least.
 LEAST = 5
 _WORD = re.compile(r"[A-Za-z\u0080-\U0010ffff]+")
 _RUN = re.compile(r"[^\x00-\x7f]{2,}")
 _LOST = re.compile("\ufffd+")
 _C1 = re.compile("[\x80-\x9f]")
 _FLUSH = 200_000
+#: Most hashes of repeated texts that are broadcast; beyond it the join shuffles.
+SMALL = 200_000
 
 
 @lru_cache(maxsize=None)
@@ -227,49 +229,57 @@ def misreadings(word: str) -> tuple[str, ...]:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text: found by structure (kind 0); its words that may be misread (1); per task: texts of each word (2)."""
+    """Per text: found by structure (kind 0); its words that may be misread (1); per task: rows of each word and different texts of it (2)."""
     words: Counter = Counter()
+    texts: Counter = Counter()
 
-    def rows(kind: list, row: pa.Array, a: list, b: list, n: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), row, pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(n, pa.int64())], ["kind", "chave", "word", "was", "n"])
+    def rows(kind: list, row: pa.Array, a: list, b: list, n: list, m: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), row, pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(n, pa.int64()), pa.array(m, pa.float64())], ["kind", "chave", "word", "was", "n", "m"])
 
     empty = None
     for batch in batches:
         empty = batch.column(0).slice(0, 0)
         kind, at, a, b, n = [], [], [], [], []
-        for i, t in enumerate(batch.column(1).to_pylist()):
+        for i, (t, copies) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
             if repair(t)[0]:
                 kind.append(0), at.append(i), a.append(None), b.append(None), n.append(1)
             own = {w for w in _WORD.findall(t) if not w.isascii()}
             words.update(own)
             for w in own:
+                texts[w] += 1 / copies
                 for x in misreadings(w):
                     kind.append(1), at.append(i), a.append(w), b.append(x), n.append(1)
         if kind:
-            yield rows(kind, batch.column(0).take(pa.array(at, pa.int64())), a, b, n)
+            yield rows(kind, batch.column(0).take(pa.array(at, pa.int64())), a, b, n, [None] * len(n))
         if len(words) > _FLUSH:
-            yield rows([2] * len(words), pa.nulls(len(words), empty.type), list(words), [None] * len(words), list(words.values()))
-            words.clear()
+            yield rows([2] * len(words), pa.nulls(len(words), empty.type), list(words), [None] * len(words), list(words.values()), [texts[w] for w in words])
+            words.clear(), texts.clear()
     if words:
-        yield rows([2] * len(words), pa.nulls(len(words), empty.type), list(words), [None] * len(words), list(words.values()))
+        yield rows([2] * len(words), pa.nulls(len(words), empty.type), list(words), [None] * len(words), list(words.values()), [texts[w] for w in words])
 
 
 def scan(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Evidence of garbling, ``(kind, chave, word, was, n)``, in one pass over all texts beyond ASCII."""
+    """Evidence of garbling, ``(kind, chave, word, was, n, m)``, in one pass over all texts beyond ASCII after one for copies."""
     src = df.select(F.col(key).alias("chave"), F.col(text).alias("texto")).where(F.octet_length("texto") > F.length("texto"))
-    return checkpoint(src.mapInArrow(_scan, T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("chave", src.schema["chave"].dataType), T.StructField("word", T.StringType()), T.StructField("was", T.StringType()), T.StructField("n", T.LongType())])))
+    hashes = src.select("chave", "texto", F.xxhash64("texto").alias("h0"), F.xxhash64(F.lit(3), "texto").alias("h1"))
+    copied = checkpoint(hashes.groupBy("h0", "h1").agg(F.count("*").alias("copias")).where("copias > 1"))
+    copied = F.broadcast(copied) if copied.limit(SMALL + 1).count() <= SMALL else copied
+    src = hashes.join(copied, ["h0", "h1"], "left").select("chave", "texto", F.coalesce("copias", F.lit(1)).alias("copias"))
+    return checkpoint(src.mapInArrow(_scan, T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("chave", src.schema["chave"].dataType), T.StructField("word", T.StringType()), T.StructField("was", T.StringType()), T.StructField("n", T.LongType()), T.StructField("m", T.DoubleType())])))
 
 
 def misread_words(evidence: DataFrame) -> DataFrame:
     """``(chave, word, was)``: words of each text for which a far more frequent word stood.
 
-    Word counts are over all texts and pre-aggregated per task. Of several possible words the most frequent one.
+    Far more frequent by rows, or by different texts, so that copies of one garbled text do not hide it. Word counts are over
+    all texts and pre-aggregated per task. Of several possible words the most frequent one.
     """
-    counts = evidence.where("kind = 2").groupBy("word").agg(F.sum("n").alias("df"))
+    counts = evidence.where("kind = 2").groupBy("word").agg(F.sum("n").alias("df"), F.round(F.sum("m"), 6).alias("texts"))
     maybe = evidence.where("kind = 1").select("word", "was").distinct()
-    own = maybe.join(counts, "word").withColumnRenamed("df", "own")
-    goal = counts.select(F.col("word").alias("was"), "df")
-    sure = own.join(goal, "was").where((F.col("df") >= LEAST) & (F.col("df") >= RATIO * F.col("own")))
+    own = maybe.join(counts, "word").withColumnsRenamed({"df": "own", "texts": "own_texts"})
+    goal = counts.select(F.col("word").alias("was"), "df", "texts")
+    more = lambda a, b: (F.col(a) >= LEAST) & (F.col(a) >= RATIO * F.col(b))
+    sure = own.join(goal, "was").where(more("df", "own") | more("texts", "own_texts"))
     sure = sure.groupBy("word").agg(F.max_by("was", F.struct("df", "was")).alias("was"))
     return evidence.where("kind = 1").select("chave", "word").distinct().join(sure, "word").select("chave", "word", "was")
 

@@ -44,3 +44,10 @@ def test_table(spark):
     fixed = {r.chave: r.restaurado for r in repaired(df, "doc_id", "text").collect()}
     assert fixed[51] == "a coração bate" and fixed[52] == "só café" and fixed[55].endswith("coração")
     assert garbled(df.limit(0), "doc_id", "text").count() == 0 and repaired(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_copies_of_one_garbled_text(spark):
+    clean = [(i, f"então {i} a não coração é") for i in range(20)]
+    df = spark.createDataFrame(clean + [(i, "entÒo a coraþÒo nÒo") for i in range(100, 110)], "doc_id long, text string")
+    assert sorted(r.chave for r in garbled(df, "doc_id", "text").collect()) == list(range(100, 110))
+    assert {r.restaurado for r in repaired(df, "doc_id", "text").collect()} == {"então a coração não"}
