@@ -120,7 +120,8 @@ def _strong(text: str, m: re.Match, got: str, encoding: str) -> bool:
                 if raw[1] == "\xa0":
                     return lower_near or not (before.isalpha() if c == "à" else before.isspace() or before.isalpha() or not before)
                 if raw[1] in CLOSING:
-                    return lower_near
+                    # a middle dot that stands alone between blanks was no end of a word
+                    return lower_near or raw == "Â·" and not before.strip() and not after.strip()
                 if before.isascii() and before.isupper() and not lower_near:
                     return raw[1] not in "ªº°®™"
                 return True
@@ -196,11 +197,11 @@ def repair(text: str, rounds: int = 4) -> tuple[bool, str]:
 
 
 @lru_cache(maxsize=None)
-def _pairs() -> tuple[tuple[str, str, dict[int, str], frozenset[str]], ...]:
-    """(written in, read as, what each misread character was, the misread characters of goal letters)."""
+def _pairs() -> tuple[tuple[str, str, dict[int, str], frozenset[str], frozenset[str]], ...]:
+    """(written in, read as, what each misread character was, the misread characters of goal letters, goal letters read right)."""
     out = []
     for w, r in SINGLE_BYTE:
-        m = {}
+        m, same = {}, set()
         for c, b in byte_table(r).items():
             if c < "\x80" or (r == "western" and "\x80" <= c <= "\x9f"):
                 continue
@@ -210,20 +211,22 @@ def _pairs() -> tuple[tuple[str, str, dict[int, str], frozenset[str]], ...]:
                 continue
             if was != c:
                 m[c] = was
+            elif c in GOAL:
+                same.add(c)
         bad = frozenset(c for c, was in m.items() if was in GOAL)
-        out.append((w, r, {ord(c): was for c, was in m.items()}, bad))
+        out.append((w, r, {ord(c): was for c, was in m.items()}, bad, frozenset(same)))
     return tuple(out)
 
 
 @lru_cache(maxsize=200_000)
 def misreadings(word: str) -> tuple[str, ...]:
-    """What ``word`` may have been, if it was misread: every character beyond ASCII must become one of the goal."""
+    """What ``word`` may have been, if it was misread: every character beyond ASCII must become, or stay, one of the goal, and one change."""
     if not any(c.isascii() for c in word):
         return ()
     odd = {c for c in word if c > "\x7f"}
     out = []
-    for _, _, m, bad in _pairs():
-        if odd <= bad:
+    for _, _, m, bad, same in _pairs():
+        if not odd.isdisjoint(bad) and odd <= bad | same:
             out.append(word.translate(m))
     return tuple(dict.fromkeys(out))
 

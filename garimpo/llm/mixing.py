@@ -122,26 +122,25 @@ def schedule(df: DataFrame, plan: Plan, slots: int) -> DataFrame:
     return bases.mapInArrow(rank, "posicao long, __s int, __r long")
 
 
-def _source_number(plan: Plan) -> Column:
-    return F.create_map(*[x for i, s in enumerate(plan.source) for x in (F.lit(s), F.lit(i))])[F.col("fonte")]
+def _numbered(sized: DataFrame, plan: Plan) -> DataFrame:
+    """``sized`` with the source's number, tokens and repeats; at most ``MAX_SOURCES`` rows are broadcast."""
+    rows = [(f, i, t, r if s else 0) for i, (f, t, r, s) in enumerate(zip(plan.source, plan.tokens, plan.repeats, plan.share))]
+    of = sized.sparkSession.createDataFrame(rows, "fonte string, __s int, __size long, __reps int")
+    return sized.join(F.broadcast(of), "fonte")
 
 
 def placed(sized: DataFrame, plan: Plan, block: int, seed: int) -> DataFrame:
     """``(chave, fonte, __s, n_tokens, uso, __start, __r)``: each possible use of each text and the block it begins in."""
     n = sized.count()
     bits = max(0, math.ceil(math.log2(max(1, n) / 4096)))
-    d = sized.withColumn("__s", _source_number(plan)).withColumn("__h", F.xxhash64(F.lit(seed), "chave"))
+    d = _numbered(sized, plan).where(F.col("__reps") > 0).withColumn("__h", F.xxhash64(F.lit(seed), "chave"))
     d = d.withColumn("__b", F.shiftrightunsigned("__h", 64 - bits) if bits else F.lit(0).cast("long"))
+    sums = d.groupBy("__s", "__b").agg(F.sum("n_tokens").alias("__n"))
     w = Window.partitionBy("__s", "__b").orderBy("__h", "chave").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("__in", F.coalesce(F.sum("n_tokens").over(w), F.lit(0)))
-    sums = sized.withColumn("__s", _source_number(plan)).withColumn("__h", F.xxhash64(F.lit(seed), "chave")).withColumn("__b", F.shiftrightunsigned("__h", 64 - bits) if bits else F.lit(0).cast("long"))
-    sums = sums.groupBy("__s", "__b").agg(F.sum("n_tokens").alias("__n"))
     sums = sums.withColumn("__base", F.coalesce(F.sum("__n").over(Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    size = F.array(*[F.lit(t).cast("long") for t in plan.tokens])
-    reps = F.array(*[F.lit(r if s else 0) for r, s in zip(plan.repeats, plan.share)])
-    d = d.join(sums, ["__s", "__b"]).where(F.element_at(reps, F.col("__s") + 1) > 0)
-    d = d.withColumn("uso", F.explode(F.sequence(F.lit(0), F.element_at(reps, F.col("__s") + 1) - 1)))
-    start = F.col("uso") * F.element_at(size, F.col("__s") + 1) + F.col("__base") + F.col("__in")
+    d = d.join(sums, ["__s", "__b"]).withColumn("uso", F.explode(F.sequence(F.lit(0), F.col("__reps") - 1)))
+    start = F.col("uso") * F.col("__size") + F.col("__base") + F.col("__in")
     return d.withColumn("__start", start).withColumn("__r", F.floor(F.col("__start") / block)).select("chave", "fonte", "__s", "n_tokens", "uso", "__start", "__r")
 
 

@@ -35,8 +35,12 @@ WIDE_CELL, LEAST_PROBES = 4096, 8
 RERANK = 32
 #: Queries of one cell that one task takes at a time; a larger cell is cut into blocks of queries.
 BLOCK = 8192
-#: Bytes of books in one pass over the vectors; more collections take more passes.
-MODEL_BYTES = 48 << 20
+#: Bytes of books, and of the vectors they are fitted on, in one pass over the vectors; more collections take more passes.
+MODEL_BYTES, SAMPLE_BYTES = 48 << 20, 256 << 20
+#: Most collections; one row of each is read on the driver.
+MAX_COLLECTIONS = 100_000
+#: Distances that are held at once when cells are looked for.
+HELD = 4_000_000
 #: Most rows of keys that are broadcast; beyond it the join shuffles.
 SMALL = 200_000
 
@@ -82,6 +86,11 @@ class Books:
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return sum(b[codes[:, m]] for m, b in enumerate(self.books))
 
+    def step(self, most: int) -> int:
+        """Vectors to look for the cells of at a time: fewer, the more cells there are, so that the distances to them stay bounded."""
+        first = max(FIRST, LEAST_PROBES, len(self.books[0])) if len(self.books) == 2 else FIRST
+        return max(1, min(most, HELD // (first * len(self.books[1]))))
+
     def cells_of(self, x: np.ndarray, probes: int) -> np.ndarray:
         """Numbers of the cells nearest to each vector, the nearest first; -1 where there are fewer."""
         a, b = self.books[:2]
@@ -140,7 +149,9 @@ def usable(df: DataFrame, col: str, key: str, vec: str) -> tuple[DataFrame, list
     src = df.select(F.col(col).alias("col"), F.col(key).cast("long").alias("r"), F.col(vec).cast("array<float>").alias("vec")).where(F.col("col").isNotNull() & F.col("r").isNotNull() & (F.size("vec") > 0))
     lengths = src.groupBy("col", F.size("vec").alias("len")).agg(F.count("*").alias("n"))
     usual = lengths.groupBy("col").agg(F.max(F.struct("n", "len")).alias("m")).select("col", "m.len", "m.n")
-    cols = [(r["col"], r["len"], r["n"]) for r in usual.orderBy("col").collect()]
+    cols = [(r["col"], r["len"], r["n"]) for r in usual.orderBy("col").limit(MAX_COLLECTIONS + 1).collect()]
+    if len(cols) > MAX_COLLECTIONS:
+        raise ValueError(f"more than {MAX_COLLECTIONS} collections: run them in several calls")
     fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     sizes = src.sparkSession.createDataFrame(cols or [("", 0, 0)], "col string, len int, n long").select("col", "len")
     return src.join(_small(sizes), "col").where((F.size("vec") == F.col("len")) & fine).select("col", "r", "vec"), cols
@@ -152,8 +163,9 @@ def _index(books: list[Books], probes: int):  # noqa: ANN202
             ids, rep = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             for c in np.unique(ids):
                 at = np.flatnonzero(ids == c)
-                for i in range(0, len(at), 2000):
-                    part = at[i : i + 2000]
+                step = books[c].step(2000)
+                for i in range(0, len(at), step):
+                    part = at[i : i + step]
                     x = _unit(np.asarray(batch.column(2).take(pa.array(part)).flatten()), len(part))
                     cells, codes, norms = books[c].encode(x, probes=probes)
                     hit = np.argwhere(cells >= 0)
@@ -178,8 +190,9 @@ def _index_whole(books: list[Books], probes: int | None):  # noqa: ANN202
             ids = np.asarray(batch.column(0))
             for c in np.unique(ids):
                 at = np.flatnonzero(ids == c)
-                for i in range(0, len(at), 1000):
-                    part = pa.array(at[i : i + 1000])
+                step = books[c].step(1000)
+                for i in range(0, len(at), step):
+                    part = pa.array(at[i : i + step])
                     vec = batch.column(2).take(part)
                     x = _unit(np.asarray(vec.flatten()), len(part))
                     cells = books[c].cells_of(x, grown(books[c]) if probes is None else probes)
@@ -356,10 +369,11 @@ def neighbors(df: DataFrame, col: str, key: str, vec: str, k: int = 5, least: fl
     reps = rows.join(_small(several.where("r <> rep").select("r")), "r", "left_anti")
     at, passes = 0, []
     while at < len(cols):
-        batch, cost = [], 0
-        while at < len(cols) and (not batch or cost < MODEL_BYTES):
+        batch, cost, sample = [], 0, 0
+        while at < len(cols) and (not batch or (cost < MODEL_BYTES and sample < SAMPLE_BYTES)):
             side = max(1, round((cols[at][2] / cell) ** 0.5))
             cost += 4 * cols[at][1] * (2 * side + depth * ENTRIES)
+            sample += 4 * cols[at][1] * min(FIT, cols[at][2])
             batch.append(cols[at])
             at += 1
         named = spark.createDataFrame([(c, i, min(1.0, FIT / n)) for i, (c, _, n) in enumerate(batch)], "col string, c int, share double")

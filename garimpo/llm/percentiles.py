@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from garimpo.runtime import checkpoint
+
 K = 1024
 #: Chance that a percentile is off by more than the stated bound.
 DELTA = 0.01
@@ -205,3 +207,27 @@ def day_sketches(tables: list[tuple[DataFrame, str, str, str, str]], k: int = K)
     return merge(sketch(long, k), True, k)
 
 
+
+
+#: Most groups whose percentiles are broadcast to be checked; beyond it the join shuffles.
+SMALL = 100_000
+
+
+def checked(tables: list[tuple[DataFrame, str, str, str, str]], qs: dict[str, float], k: int = K) -> DataFrame:
+    """``(tabela, grupo, n, dentro)``: whether every percentile's exact rank lies within its stated bound.
+
+    Exact ranks are counted over all values, pre-aggregated per task; the sketches are those of ``day_sketches``, merged over days.
+    """
+    got = checkpoint(percentiles(merge(day_sketches(tables, k), False, k), qs, k).drop("dia").withColumnsRenamed({"tabela": "__t", "grupo": "__g", "n": "__n"}))
+    values = [distinct_values(*t) for t in tables]
+    long = values[0]
+    for v in values[1:]:
+        long = long.unionByName(v)
+    of = F.broadcast(got) if got.limit(SMALL + 1).count() <= SMALL else got
+    j = long.select("tabela", "grupo", "valor").join(of, (F.col("tabela") == F.col("__t")) & F.col("grupo").eqNullSafe(F.col("__g")))
+    counts = j.groupBy("tabela", "grupo", "erro", *qs).agg(F.count("*").alias("n"), *[F.count_if(F.col("valor") < F.col(q)).alias(f"below_{q}") for q in qs], *[F.count_if(F.col("valor") <= F.col(q)).alias(f"upto_{q}") for q in qs])
+    slack = F.col("erro") + 1 / F.col("n")
+    ok = F.lit(True)
+    for q, x in qs.items():
+        ok = ok & (F.col(f"below_{q}") / F.col("n") - x <= slack) & (x - F.col(f"upto_{q}") / F.col("n") <= slack)
+    return counts.select("tabela", "grupo", "n", ok.alias("dentro"))

@@ -158,3 +158,13 @@ def oversized(pieces: DataFrame) -> DataFrame:
     """``(chave, corte)`` of the texts that came out in several pieces: forced if any cut was."""
     several = pieces.where((F.col("parte") > 0) | (F.col("corte") == FORCED))
     return several.groupBy("chave").agg(F.when(F.max(F.col("corte") == FORCED), FORCED).otherwise(NATURAL).alias("corte"))
+
+
+def rejoined(pieces: DataFrame) -> DataFrame:
+    """``(chave, texto)``: each text put together again from its pieces, without what they repeat; null stays null.
+
+    What is gathered for a row is its own text, once.
+    """
+    fresh = F.struct("parte", F.substring("texto", F.col("repete") + 1, F.length("texto")).alias("t"))
+    g = pieces.groupBy("chave", F.regexp_replace("parte_id", "::parte_[0-9]+$", "").alias("nome")).agg(F.sort_array(F.collect_list(fresh)).alias("p"), F.count_if(F.col("texto").isNull()).alias("vazias"))
+    return g.select("chave", F.when(F.col("vazias") == 0, F.array_join(F.col("p.t"), "")).alias("texto"))

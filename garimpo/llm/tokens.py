@@ -233,3 +233,17 @@ def encode_table(df: DataFrame, key: str, text: str, ids: bool = True, path: str
             yield pa.RecordBatch.from_arrays([*cols, out], [*keep, "ids" if ids else "n_tokens"])
 
     return src.mapInArrow(run, f"{schema}, " + ("ids array<int>" if ids else "n_tokens bigint"))
+
+
+def decode_table(df: DataFrame, key: str, ids: str = "ids", path: str | None = None) -> DataFrame:
+    """``(key, texto)``: the text that ids stand for; an empty list gives the empty text, null gives null."""
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary_of(path or vocabulary_path())[0])
+    src = df.select(key, ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = {int(b): base64.b64decode(a) for a, b in (x.split() for x in shared.value.splitlines() if x.strip())}
+        for batch in batches:
+            texts = [None if x is None else b"".join(map(token.__getitem__, x)).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [key, "texto"])
+
+    return src.mapInArrow(run, f"`{key}` {src.schema[key].dataType.simpleString()}, texto string")

@@ -51,3 +51,10 @@ def test_copies_of_one_garbled_text(spark):
     df = spark.createDataFrame(clean + [(i, "entÒo a coraþÒo nÒo") for i in range(100, 110)], "doc_id long, text string")
     assert sorted(r.chave for r in garbled(df, "doc_id", "text").collect()) == list(range(100, 110))
     assert {r.restaurado for r in repaired(df, "doc_id", "text").collect()} == {"então a coração não"}
+
+
+def test_letters_that_both_encodings_share(spark):
+    clean = [(i, f"exportação {i} d’après coleção") for i in range(20)]
+    df = spark.createDataFrame([*clean, (100, "exportaçăo"), (101, "Jusqu’au d’aprиs"), (102, "a Â· b"), (103, "« Â·»")], "doc_id long, text string")
+    assert sorted(r.chave for r in garbled(df, "doc_id", "text").collect()) == [100, 101, 102]
+    assert {r.chave: r.restaurado for r in repaired(df, "doc_id", "text").collect()} == {100: "exportação", 101: "Jusqu’au d’après", 102: "a · b"}
