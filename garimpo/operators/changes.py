@@ -50,3 +50,18 @@ def apply_changes(changes: DataFrame, keys: list[str], base: DataFrame | None =
     tagged = last.select(*keys, F.col(op).alias("__op")).unionByName(base.select(*keys, F.lit("b").alias("__op")))
     merged = tagged.groupBy(*keys).agg(F.max(F.when(F.col("__op") == "d", 1).otherwise(0)).alias("__dead"))
     return merged.where(F.col("__dead") == 0).select(*keys)
+
+
+def rebuild(changes: DataFrame, keys: list[str], base: DataFrame, seq: str = "seq", op: str = "op") -> DataFrame:
+    """``base`` after all changes, with its other columns and ``situacao``: mantida, alterada or nova.
+
+    The feed carries no values, so a changed row keeps those of the base and a new row has nulls in them. Rows of deleted
+    keys go. Keys are compared null-safely; a key that the base holds several times stays as often. A base column
+    named like ``seq`` or ``op`` is the base's.
+    """
+    last = latest_changes(changes, keys, seq, op).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(op).alias("__op"))
+    on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    j = base.withColumn("__mine", F.lit(1)).join(last, on, "full").where(F.coalesce(F.col("__op") != "d", F.lit(True)))
+    state = F.when(F.col("__mine").isNull(), "nova").when(F.col("__op").isNull(), "mantida").otherwise("alterada")
+    key = {k: F.when(F.col("__mine").isNull(), F.col(f"__k{i}")).otherwise(F.col(k)).alias(k) for i, k in enumerate(keys)}
+    return j.select(*[key.get(c, F.col(f"`{c}`")) for c in base.columns], state.alias("situacao"))

@@ -7,7 +7,7 @@ compared, never arrival order, so runs can be compacted in any grouping and orde
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from garimpo.functions.text import grouping_key, outer_trim
@@ -106,6 +106,75 @@ def compact(*runs: DataFrame) -> DataFrame:
     return _rows(_newest(cells, "entidade"), "entidade")
 
 
+def merge_runs(rows: DataFrame, run: Column) -> DataFrame:
+    """``(corrida, entidade, celulas)``: the runs that ``run`` gives one number are compacted into one, all runs in one job.
+
+    One level of the merge tree: deltas of months into runs of years, these into one, or any other grouping.
+    """
+    cells = rows.select(run.cast("string").alias("corrida"), "entidade", F.explode("celulas").alias("coluna", "c")).select("corrida", "entidade", "coluna", "c.versao", "c.valor")
+    return _rows(_newest(cells, "corrida", "entidade"), "corrida", "entidade")
+
+
+class RunStore:
+    """Runs written to a shared folder, level by level; each file of a run is sorted by entity.
+
+    ``append`` writes a run to level 0. A level of ``fan_in`` runs is compacted into one run of the next level, so a cell is rewritten
+    once a level. A run's folder is only read once it has its ``_SUCCESS`` mark, and runs that were compacted go after the new one is
+    complete, so a job that dies leaves nothing lost; a run that is read twice changes nothing, as versions decide.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, fan_in: int = 4) -> None:
+        if fan_in < 2:
+            raise ValueError("fan_in must be at least 2")
+        self.spark, self.folder, self.fan_in = spark, folder.rstrip("/"), fan_in
+        jvm = spark.sparkContext._jvm  # noqa: SLF001
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
+
+    def runs(self, level: int) -> list[str]:
+        """Folders of the complete runs of a level, in the order of writing."""
+        at = self._path(f"{self.folder}/level={level}")
+        if not self._fs.exists(at):
+            return []
+        names = sorted(f.getPath().getName() for f in self._fs.listStatus(at))
+        return [f"{self.folder}/level={level}/{n}" for n in names if self._fs.exists(self._path(f"{self.folder}/level={level}/{n}/_SUCCESS"))]
+
+    def levels(self) -> list[int]:
+        at = self._path(self.folder)
+        return sorted(int(f.getPath().getName()[6:]) for f in self._fs.listStatus(at) if f.getPath().getName().startswith("level=")) if self._fs.exists(at) else []
+
+    def _write(self, rows: DataFrame, level: int, after: str | None) -> None:
+        name = f"run-{int(after.rsplit('-', 1)[1]) + 1 if after else 0:09d}"
+        rows.repartition("entidade").sortWithinPartitions("entidade").write.mode("overwrite").parquet(f"{self.folder}/level={level}/{name}")
+
+    def append(self, rows: DataFrame) -> None:
+        """``rows``: (entidade, celulas), a delta of one batch; then levels that are full are compacted."""
+        own = self.runs(0)
+        self._write(rows.select("entidade", "celulas"), 0, own[-1] if own else None)
+        level = 0
+        while len(full := self.runs(level)) >= self.fan_in:
+            above = self.runs(level + 1)
+            self._write(compact(*map(self.spark.read.parquet, full)), level + 1, above[-1] if above else None)
+            for r in full:
+                self._fs.delete(self._path(r), True)
+            level += 1
+
+    def read(self) -> DataFrame:
+        """All complete runs compacted; ``(entidade, celulas)``."""
+        every = [r for level in self.levels() for r in self.runs(level)]
+        if not every:
+            raise ValueError("the store holds no run")
+        return compact(*map(self.spark.read.parquet, every))
+
+
+def columns_of(compacted: DataFrame, most: int = 2000) -> list[str]:
+    """The columns of all cells, in order; raises where there are over ``most``, for then they are no columns."""
+    found = compacted.select(F.explode(F.map_keys("celulas")).alias("c")).distinct().orderBy("c").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} columns: keep them in a map")
+    return [r["c"] for r in found]
+
+
 def filled_cells(compacted: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
     """``(entidade, coluna, valor)``: the cells that hold a value; a cell whose latest value cannot be read is empty."""
     return cells_of(compacted).select("entidade", "coluna", read_cell(F.col("coluna"), F.col("valor"), types).alias("valor")).where(F.col("valor").isNotNull())

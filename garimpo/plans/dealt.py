@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from garimpo.functions.text import outer_trim
-from garimpo.operators.changes import apply_changes, latest_changes
+from garimpo.operators.changes import apply_changes, latest_changes, rebuild
 from garimpo.operators.orphans import Children, Parents, orphan_references, orphan_report
-from garimpo.operators.wide import compact, filled_cells, to_deltas, wide_table
-from garimpo.runtime import load
+from garimpo.operators.wide import COLUMN_TYPES, columns_of, compact, filled_cells, merge_runs, to_deltas, wide_table
+from garimpo.runtime import checkpoint, load
 
 
 def references(spark: SparkSession, d: str) -> DataFrame:
@@ -44,37 +44,46 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return apply_changes(load(spark, d, "mudancas"), ["col", "rid"])
 
 
+def p4_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """``chunks`` after all changes, whole rows, with what became of each; texts and vectors as marks."""
+    r = rebuild(load(spark, d, "mudancas"), ["col", "rid"], load(spark, d, "chunks").select("col", "rid", "id", "doc", "meta"))
+    return r.select("col", "rid", "id", F.md5("doc").alias("doc"), F.md5("meta").alias("meta"), "situacao")
+
+
 def p4_merged(spark: SparkSession, d: str) -> DataFrame:
     """The same changes merged into ``chunks`` as the base."""
     return apply_changes(load(spark, d, "mudancas"), ["col", "rid"], base=load(spark, d, "chunks"))
 
 
 def compacted_facts(spark: SparkSession, d: str) -> DataFrame:
-    """One delta a month of ``data``, then one compacted run."""
-    return compact(to_deltas(load(spark, d, "fatos"), "sujeito", "atributo", "valor", ["data", "nota"], F.substring("data", 1, 7)))
+    """One delta a month of ``data``; deltas are merged into written runs of years, and these into one."""
+    deltas = to_deltas(load(spark, d, "fatos"), "sujeito", "atributo", "valor", ["data", "nota"], F.substring("data", 1, 7))
+    years = checkpoint(merge_runs(deltas, F.substring("lote", 1, 4)))
+    return compact(years)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return filled_cells(compacted_facts(spark, d))
 
 
-#: Columns of their own in the reported wide tables: the attributes that have a type and some others; the set of attributes is open.
-WIDE_COLUMNS = ["port", "version", "host", "config_path", "model", "url", "path", "repository", "owner", "schedule", "setting_enabled", "setting_cache", "setting_timeout_ms", "setting_workers", "setting_temperature"]
-
-
 def p5_wide(spark: SparkSession, d: str) -> DataFrame:
-    """The listed columns only, as its SQL has them; ``p5_wide_all`` holds every cell."""
-    w = wide_table(compacted_facts(spark, d), WIDE_COLUMNS)
-    return w.select("entidade", *[F.col(c).cast("string").alias(c) for c in WIDE_COLUMNS])
+    """One row per entity: a column for each attribute that has a type of its own, all other filled cells as text in ``outras``.
+
+    The set of attributes is open, so a fixed schema holds the others as ``column=value`` lines; ``p5_wide_all`` gives each a column.
+    """
+    typed = list(COLUMN_TYPES)
+    w = wide_table(compacted_facts(spark, d), typed, rest="outras")
+    lines = F.array_join(F.array_sort(F.transform(F.map_entries("outras"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "\n")
+    return w.select("entidade", *typed, lines.alias("outras"))
 
 
 def p5_wide_all(spark: SparkSession, d: str) -> DataFrame:
-    """One row per entity: the listed columns, and all other filled cells in the map ``outras``."""
-    w = wide_table(compacted_facts(spark, d), WIDE_COLUMNS, rest="outras")
-    return w.select("entidade", *[F.col(c).cast("string").alias(c) for c in WIDE_COLUMNS], "outras")
+    """One row per entity, one typed column for every attribute there is."""
+    c = checkpoint(compacted_facts(spark, d))
+    return wide_table(c, columns_of(c))
 
 
-QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_merged": p4_merged, "p5_found": p5_found, "p5_wide": p5_wide, "p5_wide_all": p5_wide_all}
+QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_merged": p4_merged, "p4_rebuilt": p4_rebuilt, "p5_found": p5_found, "p5_wide": p5_wide, "p5_wide_all": p5_wide_all}
 
 _LAST = """
 mud AS (SELECT col, rid, seq, chegou_em, lower(trim(op, E' \\t\\r\\n')) AS op FROM mudancas WHERE seq IS NOT NULL AND rid IS NOT NULL),
@@ -123,5 +132,12 @@ ORACLE = {
     "p4_merged": _STATE + """, keys AS (SELECT col, rid FROM ranked WHERE k = 1 AND op = 'u' UNION SELECT col, rid FROM chunks)
 SELECT col, rid FROM keys WHERE NOT EXISTS (SELECT 1 FROM ranked r WHERE r.k = 1 AND r.op = 'd' AND r.rid = keys.rid AND r.col IS NOT DISTINCT FROM keys.col)""",
     "p5_found": _CELLS + "SELECT entidade, coluna, valor FROM c WHERE valor IS NOT NULL",
-    "p5_wide": _CELLS + "SELECT entidade, " + ", ".join(f"max(valor) FILTER (coluna = '{c}') AS {c}" for c in WIDE_COLUMNS) + " FROM c GROUP BY entidade",
+    "p4_rebuilt": _STATE + """, l AS (SELECT * FROM ranked WHERE k = 1)
+SELECT coalesce(c.col, l.col) AS col, coalesce(c.rid, l.rid) AS rid, id, md5(doc) AS doc, md5(meta) AS meta, CASE WHEN c.rid IS NULL THEN 'nova' WHEN l.op IS NULL THEN 'mantida' ELSE 'alterada' END AS situacao
+FROM chunks c FULL JOIN l ON c.rid = l.rid AND c.col IS NOT DISTINCT FROM l.col WHERE coalesce(l.op, 'u') = 'u'""",
+    "p5_wide": _CELLS + """SELECT entidade, CAST(max(valor) FILTER (coluna = 'port') AS DECIMAL(38, 0)) AS port, CAST(max(valor) FILTER (coluna = 'setting_timeout_ms') AS DECIMAL(38, 0)) AS setting_timeout_ms,
+CAST(max(valor) FILTER (coluna = 'setting_workers') AS DECIMAL(38, 0)) AS setting_workers, CAST(max(valor) FILTER (coluna = 'setting_enabled') AS BOOLEAN) AS setting_enabled, CAST(max(valor) FILTER (coluna = 'setting_cache') AS BOOLEAN) AS setting_cache,
+CAST(max(valor) FILTER (coluna = 'setting_temperature') AS DECIMAL(38, 2)) AS setting_temperature,
+coalesce(string_agg(coluna || '=' || valor, E'\\n' ORDER BY coluna || '=' || valor) FILTER (valor IS NOT NULL AND coluna NOT IN ('port', 'setting_timeout_ms', 'setting_workers', 'setting_enabled', 'setting_cache', 'setting_temperature')), '') AS outras
+FROM c GROUP BY entidade""",
 }

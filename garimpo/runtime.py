@@ -23,6 +23,7 @@ def local_session(cores: int | str = 8, memory: str = "8g", **conf: str) -> Spar
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for k, v in conf.items():
         b = b.config(k, v)
@@ -39,14 +40,17 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage in the shared folder of ``spark.checkpoint.dir``.
 
-    Only where the session names no folder (local tests) is a temporary one set. The data survive the
-    loss of executors, unlike a local checkpoint.
+    Only where the session names no folder (local tests) is a temporary one set, which goes when the program ends. The data survive the
+    loss of executors, unlike a local checkpoint. Files of checkpoints that are no longer referred to go with
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``, which the submitter should set as ``local_session`` does.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), f"garimpo-{os.getuid()}"))
+        own = tempfile.mkdtemp(prefix="garimpo-checkpoints-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
     return df.checkpoint(eager)
 
 

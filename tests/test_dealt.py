@@ -4,9 +4,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from garimpo.operators.changes import apply_changes, latest_changes
+from garimpo.operators.changes import apply_changes, latest_changes, rebuild
 from garimpo.operators.orphans import Children, Parents, orphan_references, orphan_report
-from garimpo.operators.wide import cells_of, compact, filled_cells, to_deltas, wide_table
+from garimpo.operators.wide import RunStore, cells_of, columns_of, compact, filled_cells, merge_runs, to_deltas, wide_table
 from garimpo.plans import dealt
 
 T0 = dt.datetime(2025, 9, 1)
@@ -109,6 +109,30 @@ def test_wide_table_holds_every_cell(spark, tmp_path):
     facts = [("s", "port", "x 080"), ("s", "Setting: Retries", "3"), ("s", "command", "`run`"), ("s", "device", " "), ("t", "runtime", "py")]
     spark.createDataFrame([("n", "2025-01-01", *f) for f in facts], "nota string, data string, sujeito string, atributo string, valor string").write.parquet(f"{tmp_path}/fatos.parquet")
     w = {r.entidade: r.asDict() for r in dealt.p5_wide_all(spark, str(tmp_path)).collect()}
-    cells = {(e, c, v) for e, r in w.items() for c, v in [*((c, r[c]) for c in dealt.WIDE_COLUMNS), *r["outras"].items()] if v is not None}
+    cells = {(e, c, str(v)) for e, r in w.items() for c, v in r.items() if c != "entidade" and v is not None}
     assert cells == {tuple(r) for r in dealt.p5_found(spark, str(tmp_path)).collect()}
-    assert w["s"]["port"] == "80" and w["s"]["outras"] == {"setting_retries": "3", "command": "run"} and w["t"]["outras"] == {"runtime": "py"}
+    assert w["s"] == {"entidade": "s", "command": "run", "device": None, "port": 80, "runtime": None, "setting_retries": "3"} and w["t"]["runtime"] == "py"
+    fixed = {r.entidade: r for r in dealt.p5_wide(spark, str(tmp_path)).collect()}
+    assert fixed["s"].port == 80 and fixed["s"].outras == "command=run\nsetting_retries=3" and fixed["t"].outras == "runtime=py"
+
+
+def test_rebuild_keeps_columns(spark):
+    base = spark.createDataFrame([("n", 1, "x", 5), ("n", 4, "y", 6), (None, 9, None, 7), ("n", 9, "z", 8), ("n", 9, "z", 8)], "col string, rid long, op string, seq int")
+    feed = _feed(spark, [(1, "n", 1, "d"), (2, "n", 2, "u"), (3, "n", 4, "u"), (1, None, 9, "u"), (4, "n", 7, "d")])
+    got = sorted(map(tuple, rebuild(feed, ["col", "rid"], base).collect()), key=repr)
+    assert got == sorted([("n", 4, "y", 6, "alterada"), (None, 9, None, 7, "alterada"), ("n", 9, "z", 8, "mantida"), ("n", 9, "z", 8, "mantida"), ("n", 2, None, None, "nova")], key=repr)
+    assert rebuild(_feed(spark, []), ["col", "rid"], base).count() == 5 and rebuild(feed, ["col", "rid"], base.limit(0)).count() == 3
+
+
+def test_runs_written_and_compacted_again(spark, tmp_path):
+    months = [[("a", f"2025-{m:02d}-0{k}", f"s{k}", f"c{m % 3}", f"v{m}{k}") for k in range(1, 5)] for m in range(1, 12)]
+    store = RunStore(spark, str(tmp_path), fan_in=3)
+    for m in [months[i] for i in (4, 1, 9, 0, 2, 3, 10, 5, 8, 6, 7)]:
+        store.append(to_deltas(_facts(spark, m), "sujeito", "atributo", "valor", ["data", "nota"], F.lit("x")))
+    assert len(store.runs(0)) == 2 and len(store.runs(1)) == 0 and len(store.runs(2)) == 1
+    of = lambda c: sorted(map(tuple, filled_cells(c).collect()))
+    once = to_deltas(_facts(spark, sum(months, [])), "sujeito", "atributo", "valor", ["data", "nota"], F.lit("x"))
+    assert of(store.read()) == of(compact(once)) and len(of(store.read())) == 12
+    runs = merge_runs(to_deltas(_facts(spark, sum(months, [])), "sujeito", "atributo", "valor", ["data", "nota"], F.substring("data", 1, 7)), F.substring("lote", 1, 6))
+    assert of(compact(runs)) == of(compact(once)) and runs.select("corrida").distinct().count() == 2
+    assert columns_of(compact(once)) == ["c0", "c1", "c2"]
