@@ -52,3 +52,31 @@ def grouping_key(c: Column) -> Column:
 def fold(c: Column) -> Column:
     """Text without combining marks after compatibility decomposition; ASCII stays in the JVM."""
     return F.coalesce(_fold_udf(F.when(~is_ascii(c), c)), c)
+
+
+def _latin() -> tuple[str, str]:
+    """Precomposed Latin letters and what they fold to; combining marks, which fold to nothing, come last."""
+    pairs = []
+    for i in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        base = "".join(c for c in unicodedata.normalize("NFKD", chr(i)) if not unicodedata.combining(c))
+        if len(base) == 1 and base != chr(i):
+            pairs.append((chr(i), base))
+    return "".join(a for a, _ in pairs) + "".join(map(chr, range(0x300, 0x370))), "".join(b for _, b in pairs)
+
+
+_FROM, _TO = _latin()
+
+
+def fold_latin(c: Column) -> Column:
+    """Latin letters without their marks, by one table in the JVM; other scripts stay as they are."""
+    return F.translate(c, _FROM, _TO)
+
+
+@F.pandas_udf(T.StringType())
+def _nfkc_udf(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: unicodedata.normalize("NFKC", x).casefold(), na_action="ignore")
+
+
+def casefolded(c: Column) -> Column:
+    """Compatibility-composed text without case; ASCII stays in the JVM."""
+    return F.coalesce(_nfkc_udf(F.when(~is_ascii(c), c)), F.lower(c))

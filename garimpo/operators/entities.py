@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from garimpo.functions.text import casefolded
+
 
 def normal_label(c: Column) -> Column:
-    """Lower case, runs other than letters and digits as one space, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
+    """Compatibility form without case, runs other than letters and digits as one space, trimmed."""
+    return F.trim(F.regexp_replace(casefolded(c), r"[^\p{L}\p{N}]+", " "))
 
 
 def char_shingles(c: Column, k: int = 3) -> Column:
@@ -63,10 +65,15 @@ def jaro_winkler_of(a: str, b: str) -> float:
     return s + 0.1 * p * (1 - s)
 
 
-@F.pandas_udf(T.DoubleType())
-def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Similarity of two labels; null if either is."""
-    return pd.Series([None if x is None or y is None else jaro_winkler_of(x, y) for x, y in zip(a, b)], dtype="float64")
+def _similarity(of):  # noqa: ANN001, ANN202
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else of(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    return F.pandas_udf(run, T.DoubleType())
+
+
+#: Similarity of two labels, with and without the bonus for a common beginning; null if either is null.
+jaro_winkler, jaro_similarity = _similarity(jaro_winkler_of), _similarity(jaro)
 
 
 def simhash_of(text: str) -> int:

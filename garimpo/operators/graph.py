@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from garimpo.runtime import checkpoint
 
 #: Relations along which a change spreads.
-IMPACT = ["calls", "references", "imports", "imports_from", "re_exports", "inherits", "extends", "implements", "uses", "mixes_in", "embeds", "indirect_call"]
+IMPACT = ["calls", "indirect_call", "references", "imports", "imports_from", "re_exports", "inherits", "extends", "implements", "uses", "mixes_in", "embeds"]
 
 
 def prune_dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -74,25 +78,43 @@ def affected(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return reach(edges, seeds, depth, IMPACT, reverse=True)
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 8, hidden: tuple[str, ...] = ("contains",)) -> DataFrame:
-    """``(src, dst, passos, caminho)``: one shortest directed path per pair ``(src, dst)``, the smallest nodes at ties."""
-    e = edges.where(~F.col("relation").isin(*hidden)).select(F.col("source").alias("at"), F.col("target").alias("next")).where("at <> next").distinct()
-    open_ = pairs.select("src", "dst").distinct()
-    front = open_.select("src", F.col("src").alias("at"), F.array("src").alias("path")).distinct()
+def _paths(e: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(src, dst, caminho)`` breadth first over steps ``(at, next, passo)``; sources whose targets are all found drop out."""
+    open_ = checkpoint(pairs)
+    front = open_.select("src", F.col("src").alias("at"), F.array(F.struct(F.col("src").alias("id"), F.lit(None).cast("string").alias("relation"), F.lit("").alias("sentido"))).alias("path")).distinct()
     seen = front.select("src", "at")
-    done = None
-    for step in range(depth + 1):
-        hit = front.join(open_, "src").where(F.col("at") == F.col("dst")).select("src", "dst", F.lit(step).alias("passos"), F.col("path").alias("caminho"))
-        done = hit if done is None else done.unionByName(hit)
-        if step == depth:
-            break
-        nxt = front.join(e, "at").select("src", F.col("next").alias("at"), F.concat("path", F.array("next")).alias("path"))
+    done = open_.select("src", "dst", F.lit(None).cast(front.schema["path"].dataType).alias("caminho")).limit(0)
+    while True:
+        hit = front.join(open_, "src").where(F.col("at") == F.col("dst")).select("src", "dst", F.col("path").alias("caminho"))
+        done = checkpoint(done.unionByName(hit))
+        open_ = checkpoint(open_.join(hit.select("src", "dst"), ["src", "dst"], "left_anti"))
+        live = front.join(open_.select("src").distinct(), "src", "left_semi")
+        nxt = live.join(e, "at").select("src", F.col("next").alias("at"), F.concat("path", F.array(F.struct(F.col("next").alias("id"), F.col("relation"), F.col("sentido")))).alias("path"))
         nxt = nxt.groupBy("src", "at").agg(F.min("path").alias("path")).join(seen, ["src", "at"], "left_anti")
         front = checkpoint(nxt)
         if front.isEmpty():
-            break
-        seen = seen.union(front.select("src", "at"))
-    return done
+            return done
+        seen = checkpoint(seen.union(front.select("src", "at")))
+
+
+def shortest_paths(edges: DataFrame, pairs: DataFrame, hidden: tuple[str, ...] = ("contains",), undirected: bool = True) -> DataFrame:
+    """``(src, dst, passos, caminho, sentidos, dirigido)``: one shortest path per pair ``(src, dst)``, the smallest nodes at ties.
+
+    Along the edges first; pairs without such a path are looked for again without regard to direction. ``sentidos`` has ``>`` or ``<`` for each
+    step. Paths may be of any length: a round joins the last frontier only, and a source whose targets are found goes no further. Pairs that
+    are not connected, or of which an end is null, have no row.
+    """
+    e = edges.where(~F.col("relation").isin(*hidden)).where("source <> target").select(F.col("source").alias("at"), F.col("target").alias("next"), "relation", F.lit(">").alias("sentido"))
+    e = checkpoint(e.groupBy("at", "next", "sentido").agg(F.min("relation").alias("relation")))
+    want = checkpoint(pairs.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    found = _paths(e, want).withColumn("dirigido", F.lit(True))
+    if undirected:
+        rest = checkpoint(want.join(found.select("src", "dst"), ["src", "dst"], "left_anti"))
+        if not rest.isEmpty():
+            both = e.unionByName(e.select(F.col("next").alias("at"), F.col("at").alias("next"), F.lit("<").alias("sentido"), "relation"))
+            both = checkpoint(both.groupBy("at", "next").agg(F.max(F.struct("sentido", "relation")).alias("m")).select("at", "next", "m.relation", "m.sentido"))
+            found = found.unionByName(_paths(both, rest).withColumn("dirigido", F.lit(False)))
+    return found.select("src", "dst", (F.size("caminho") - 1).alias("passos"), F.col("caminho.id").alias("caminho"), F.array_join(F.col("caminho.sentido"), "").alias("sentidos"), "dirigido")
 
 
 def cohesion(edges: DataFrame, members: DataFrame) -> DataFrame:
@@ -113,25 +135,56 @@ def cross_links(edges: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def fingerprint(members: DataFrame) -> DataFrame:
-    """``(community, marca)``: 16 hex digits of the SHA-256 of the sorted member ids, each ended by NUL."""
-    ids = F.sort_array(F.collect_list(F.concat(F.col("id").cast("string"), F.lit("\0"))))
-    return members.groupBy("community").agg(F.substring(F.sha2(F.concat_ws("", ids), 256), 1, 16).alias("marca"))
-
+    """``(community, marca)``: 16 hex digits of the SHA-256 of the sorted member ids, each ended by NUL.
 
-def communities(edges: DataFrame, rounds: int = 8) -> DataFrame:
+    Members stream through their task in the order of their ids, so a community of any size is hashed without being held.
+    """
+    kind = members.schema["community"].dataType.simpleString()
+    src = members.select("community", F.col("id").cast("string").alias("id")).repartition("community").sortWithinPartitions("community", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, mark, open_ = None, None, False
+        names = ["community", "marca"]
+        for b in batches:
+            done, marks = [], []
+            for c, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if not open_ or c != last:
+                    if open_:
+                        done.append(last), marks.append(mark.hexdigest()[:16])
+                    last, mark, open_ = c, hashlib.sha256(), True
+                mark.update(((i or "") + "\0").encode("utf-8", "surrogatepass"))
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(done, b.schema.types[0]), pa.array(marks, pa.string())], names)
+            types = b.schema.types
+        if open_:
+            yield pa.RecordBatch.from_arrays([pa.array([last], types[0]), pa.array([mark.hexdigest()[:16]], pa.string())], names)
+
+    return src.mapInArrow(run, f"community {kind}, marca string")
+
+
+def communities(edges: DataFrame, most: int = 500) -> DataFrame:
     """``(id, community)`` by synchronous label propagation: the most frequent label of the neighbors and of the node itself.
 
-    Deterministic, ties to the smallest label. Not the partition of a modularity optimiser, which Spark lacks.
+    Deterministic, ties to the smallest label. Rounds go on until nothing changes; labels of such votes settle or swing between two
+    states, of which the smaller label is taken. Raises if neither happens in ``most`` rounds. Not the partition of a modularity
+    optimiser, which Spark lacks.
     """
     e = edges.select("source", "target").where("source <> target")
     e = checkpoint(e.union(e.select("target", "source")).distinct())
     label = checkpoint(e.select(F.col("source").alias("id")).distinct().withColumn("community", F.col("id")))
-    for _ in range(rounds):
+    state = lambda x: tuple(x.agg(F.count("*"), F.sum(F.xxhash64("id", "community").cast("decimal(38,0)"))).first())
+    before, marks = label, [state(label)]
+    for _ in range(most):
         votes = e.join(label.toDF("target", "community"), "target").select(F.col("source").alias("id"), "community").union(label)
         n = votes.groupBy("id", "community").agg(F.count("*").alias("n"))
-        best = n.groupBy("id").agg(F.max("n").alias("n"))
-        label = checkpoint(n.join(best, ["id", "n"]).groupBy("id").agg(F.min("community").alias("community")))
-    return label
+        best = n.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("m"))
+        before, label = label, checkpoint(best.select("id", "m.community"))
+        marks.append(state(label))
+        if marks[-1] == marks[-2]:
+            return label
+        if len(marks) > 2 and marks[-1] == marks[-3]:
+            return label.toDF("id", "a").join(before.toDF("id", "b"), "id").select("id", F.least("a", "b").alias("community"))
+    raise RuntimeError(f"labels did not settle in {most} rounds")
 
 
 def cycles(edges: DataFrame, longest: int = 5) -> DataFrame:
@@ -156,20 +209,23 @@ def cycles(edges: DataFrame, longest: int = 5) -> DataFrame:
     return found
 
 
-def levels(edges: DataFrame, nodes: DataFrame, most: int = 1000) -> DataFrame:
-    """``(id, nivel)`` of a dependency graph (source before target): the longest path to each node. Raises on a cycle."""
+def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(id, nivel)`` of a dependency graph (source before target): the longest path to each node. Raises on a cycle.
+
+    One round a level, however many there are; a round joins only the nodes that are left.
+    """
     e = checkpoint(edges.select("source", "target").distinct())
-    left = checkpoint(nodes.select("id").union(e.select("source")).union(e.select("target")).distinct())
-    out = None
-    for level in range(most):
-        waiting = e.join(left.toDF("source"), "source", "left_semi").select(F.col("target").alias("id")).distinct()
-        ready = checkpoint(left.join(waiting, "id", "left_anti").withColumn("nivel", F.lit(level)))
+    left = checkpoint(nodes.select("id").union(e.select("source")).union(e.select("target")).where("id IS NOT NULL").distinct())
+    out = left.withColumn("nivel", F.lit(0)).limit(0)
+    level = 0
+    while not left.isEmpty():
+        e = checkpoint(e.join(left.toDF("source"), "source", "left_semi"))
+        ready = checkpoint(left.join(e.select(F.col("target").alias("id")).distinct(), "id", "left_anti").withColumn("nivel", F.lit(level)))
         if ready.isEmpty():
-            break
-        out = ready if out is None else out.unionByName(ready)
+            raise ValueError("the graph has a cycle")
+        out = checkpoint(out.unionByName(ready)) if level % 50 == 49 else out.unionByName(ready)
         left = checkpoint(left.join(ready.select("id"), "id", "left_anti"))
-    if not left.isEmpty():
-        raise ValueError("the graph has a cycle")
+        level += 1
     return out
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,13 +24,15 @@ def client_slug(c: Column, aliases: dict[str, str] | None = None) -> Column:
     return slug
 
 
-def client_from_path(path: Column, roots: list[str]) -> Column:
-    """The first folder below the first root that holds the path; null if nothing lies below that folder."""
+def client_from_path(path: Column, roots: list[str], aliases: dict[str, str] | None = None) -> Column:
+    """The first folder below the first root that holds the path, by its alias if it has one; null if nothing lies below that folder."""
     out = F.lit(None).cast("string")
     for r in reversed(roots):
         r = r.rstrip("/") + "/"
         rest = F.split(F.substring(path, F.lit(len(r) + 1), F.length(path)), "/")
         out = F.when(path.startswith(r), F.when(F.size(rest) >= 2, rest[0])).otherwise(out)
+    for k, v in (aliases or {}).items():
+        out = F.when(out == k, F.lit(v)).otherwise(out)
     return out
 
 
@@ -84,14 +86,19 @@ def containing_paths(items: DataFrame, path: str, key: str) -> DataFrame:
     return items.where(F.col(path).isNotNull()).select(key, F.explode(pre).alias("prefixo"))
 
 
-def shortest_suffixes(df: DataFrame, key: str, path: str, depth: int = 6) -> DataFrame:
-    """``(key, rotulo)``: the shortest suffix of whole segments that no other path shares, the full path if none is."""
-    parts = F.split(path, "/")
-    s = df.select(key, path, F.explode(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(depth)))).alias("n"))
-    s = s.withColumn("s", F.array_join(F.slice(F.reverse(F.split(path, "/")), F.lit(1), F.col("n")), "\0"))
-    alone = s.groupBy("s").agg(F.countDistinct(path).alias("paths")).where("paths = 1")
-    best = s.join(alone, "s").groupBy(key).agg(F.min_by("s", "n").alias("s"))
-    return df.select(key, path).join(best, key, "left").select(key, F.coalesce(F.array_join(F.reverse(F.split("s", "\0")), "/"), path).alias("rotulo"))
+def shortest_suffixes(df: DataFrame, key: str, path: str) -> DataFrame:
+    """``(key, rotulo)``: the shortest suffix of whole segments that no other path shares, the full path if none is.
+
+    Suffixes are compared by 128 hash bits, so a deep path is not written out once a segment.
+    """
+    parts = F.reverse(F.split(path, "/"))
+    s = df.select(key, path, F.explode(F.sequence(F.lit(1), F.size(parts))).alias("n"))
+    own = F.concat_ws("\0", F.slice(F.reverse(F.split(path, "/")), F.lit(1), F.col("n")))
+    s = s.select(key, path, "n", F.xxhash64(own, F.lit(1)).alias("a"), F.xxhash64(own, F.lit(2)).alias("b"))
+    alone = s.groupBy("a", "b").agg(F.min(path).alias("p"), F.max(path).alias("q")).where("p = q").select("a", "b")
+    best = s.join(alone, ["a", "b"]).groupBy(key, path).agg(F.min("n").alias("n"))
+    j = df.select(key, path).join(best, [key, path], "left")
+    return j.select(key, F.coalesce(F.array_join(F.reverse(F.slice(parts, F.lit(1), F.col("n"))), "/"), path).alias("rotulo"))
 
 
 def budget_levels(items: DataFrame, by: str, order: list[str], costs: list[str], budget: int) -> DataFrame:
@@ -101,21 +108,21 @@ def budget_levels(items: DataFrame, by: str, order: list[str], costs: list[str],
     """
     src = items.select(by, *order, *costs)
     schema = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in src.columns) + ", nivel int"
+    first = 1 + len(order)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, left = object(), 0
-        for pdf in batches:
+        for b in batches:
             out = []
-            for row in pdf.itertuples(index=False):
-                if row[0] != group:
-                    group, left = row[0], budget
-                prices = row[1 + len(order) :]
+            for own, *prices in zip(b.column(0).to_pylist(), *[c.to_pylist() for c in b.columns[first:]]):
+                if own != group:
+                    group, left = own, budget
                 level = next((i for i in range(len(prices), 0, -1) if prices[i - 1] <= left), 0)
                 left -= prices[level - 1] if level else 0
                 out.append(level)
-            yield pdf.assign(nivel=out)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], [*b.schema.names, "nivel"])
 
-    return src.repartition(by).sortWithinPartitions(by, *order).mapInPandas(run, schema)
+    return src.repartition(by).sortWithinPartitions(by, *order).mapInArrow(run, schema)
 
 
 def node_search(nodes: DataFrame, terms: list[str], top: int = 20) -> DataFrame:
@@ -168,7 +175,7 @@ def cron_matches(ts: Column, spec: str) -> Column:
 
 def sections(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, parte, titulo, corpo)``: a text cut before its headings of the first two levels; what comes first has no title."""
-    parts = F.split(F.col(text), r"(?m)(?=^#{1,2}[ \t]+\S)")
+    parts = F.split(F.col(text), r"(?md)(?=^#{1,2}[ \t]+\S)")
     e = df.where(F.col(text).isNotNull()).select(key, F.posexplode(F.filter(parts, lambda x: F.trim(x, F.lit(" \t\r\n")) != "")).alias("parte", "p"))
     title = F.regexp_extract("p", r"\A#{1,2}[ \t]+([^\n]*)", 1)
     return e.select(key, "parte", F.nullif(F.trim(title), F.lit("")).alias("titulo"), F.btrim(F.regexp_replace("p", r"\A#{1,2}[ \t]+[^\n]*", ""), F.lit(" \t\r\n")).alias("corpo"))
@@ -180,3 +187,20 @@ def vault_health(docs: DataFrame, links: DataFrame) -> DataFrame:
     cited = docs.where("caminho IS NOT NULL").select(stem.alias("alvo")).distinct().join(links.select("alvo"), "alvo", "left_anti")
     a = docs.agg(F.count("*").alias("notas"), F.count_if(F.coalesce(F.length("text"), F.lit(0)) == 0).alias("vazias"), F.count_if(F.col("caminho").isNull()).alias("sem_caminho"), F.count_if(F.coalesce(note_kind(F.col("caminho")), F.lit("note")) == "generated").alias("geradas"))
     return a.join(cited.agg(F.count("*").alias("orfas"))).join(links.agg(F.count_if("quebrado").alias("links_quebrados")))  # three single rows
+
+
+def chosen_handoffs(asks: DataFrame, handoffs: DataFrame) -> DataFrame:
+    """``(pedido, projeto, escolhida)``: the handoff of the project that serves each ask ``(pedido, projeto, pasta)``, null if none does.
+
+    ``handoffs``: (id, projeto, manual, criado, pasta). A handoff serves folders at or below its own, without one all of them. Manual before
+    automatic, then the newest, the deepest folder, the greatest id. Containment is joined by equality on the ancestors of the asker's folder.
+    """
+    a = asks.select("pedido", "projeto", "pasta").withColumn("k", F.concat_ws("\0", "pedido", "projeto"))
+    up = containing_paths(a, "pasta", "k").select("k", F.col("prefixo").alias("p"))
+    every = a.select("k", F.lit(None).cast("string").alias("p")).unionByName(up).join(a.select("k", "pedido", "projeto"), "k")
+    own = F.when(F.col("pasta").isNotNull(), F.when(F.rtrim("pasta", F.lit("/")) == "", "/").otherwise(F.rtrim("pasta", F.lit("/"))))
+    h = handoffs.select("id", F.col("projeto").alias("hp"), "manual", "criado", own.alias("hf"))
+    j = every.join(h, (F.col("projeto") == F.col("hp")) & F.col("p").eqNullSafe(F.col("hf")))
+    depth = F.coalesce(F.size(F.filter(F.split("hf", "/"), lambda x: x != "")), F.lit(-1))
+    best = j.groupBy("k").agg(F.max(F.struct("manual", "criado", depth.alias("d"), "id")).alias("m"))
+    return a.join(best, "k", "left").select("pedido", "projeto", F.col("m.id").alias("escolhida"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,10 +16,15 @@ from garimpo.operators.components import components
 from garimpo.operators.entities import char_shingles, entropy, jaro_winkler, normal_label
 from garimpo.runtime import checkpoint
 
+#: The hash family that signatures must share to be comparable with stored ones: 128 permutations, coefficients drawn from
+#: seed 1 below a Mersenne prime. Bands and rows balance false and missed candidates at a Jaccard similarity of 0.7.
 PERMUTATIONS = 128
-#: Bands and rows that balance false and missed candidates at a Jaccard similarity of 0.7.
-BANDS, ROWS = 14, 9
 PRIME = (1 << 61) - 1
+BANDS, ROWS = 14, 9
+#: Labels of a band that are paired within it; of a larger one all are compared exactly.
+HOT = 200
+#: Letters by rising frequency in the supported languages; other characters come before them.
+RARE = "zqjxkwvybhgfpmucldrnsotiae"
 
 
 @lru_cache(maxsize=4)
@@ -56,26 +62,77 @@ def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(np.frombuffer(b"".join(keys), np.int64))], ["rotulo", "banda"])
 
 
-def similar_labels(labels: DataFrame, column: str, threshold: float = 0.92, least_bits: float = 2.5) -> DataFrame:
-    """``(a, b, sim)``: different normal forms, candidates of one band, at least as similar as the threshold.
+def _exact_keys(threshold: float):  # noqa: ANN202
+    """Keys of which two labels share one if their Jaro-Winkler similarity reaches the threshold.
 
-    Labels are normalised and deduplicated first, so equal labels never meet; those under ``least_bits`` of entropy per
-    character say too little to be merged and take no part. Null labels are left out.
+    With p letters in common at the beginning, a similarity of t needs m common characters with m/|a| + m/|b| >= 3 (t - p/10) / (1 - p/10) - 1.
+    Two labels with that many share one of the first |a| - m + 1 and |b| - m + 1 of their characters in a common order, rarest first.
+    A key names p and these letters, both lengths and the character.
     """
-    n = labels.select(normal_label(F.col(column)).alias("rotulo")).where("rotulo <> ''").distinct().where(entropy(F.col("rotulo")) >= least_bits)
-    bands = n.select("rotulo", char_shingles(F.col("rotulo")).alias("s")).mapInArrow(_band_keys, "rotulo string, banda bigint")
+    rank = {c: i for i, c in enumerate(RARE)}
+    need = {p: 3 * (threshold - p / 10) / (1 - p / 10) - 1 for p in range(5)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 200):
+                labels, keys = [], []
+                for label in whole.column(0).slice(at, 200).to_pylist():
+                    n, seen, tokens = len(label), {}, []
+                    for c in label:
+                        seen[c] = seen.get(c, 0) + 1
+                        tokens.append((-seen[c], rank.get(c, -1), c))
+                    tokens.sort()
+                    own = set()
+                    for p in range(min(4, n) + 1):
+                        x = need[p]
+                        for m in range(max(1, math.ceil(n * (x - 1) - 1e-9)), math.floor(n / (x - 1) + 1e-9) + 1):
+                            common = math.ceil(x * n * m / (n + m) - 1e-9)
+                            for t in tokens[: n - common + 1]:
+                                own.add((p, label[:p], min(n, m), max(n, m), t[0], t[2]))
+                    for k in own:
+                        labels.append(label)
+                        keys.append(hashlib.blake2b(repr(k).encode("utf-8", "surrogatepass"), digest_size=8).digest())
+                yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(np.frombuffer(b"".join(keys), np.int64))], ["rotulo", "banda"])
+
+    return run
+
+
+def _met(bands: DataFrame) -> DataFrame:
     x, y = bands.select(F.col("rotulo").alias("a"), "banda"), bands.select(F.col("rotulo").alias("b"), "banda")
-    pairs = x.join(y, "banda").where("a < b").select("a", "b").distinct()
-    return pairs.withColumn("sim", jaro_winkler("a", "b")).where(F.col("sim") >= threshold)
+    return x.join(y, "banda").where("a < b").select("a", "b").distinct()
+
+
+def label_pairs(labels: DataFrame, column: str, threshold: float = 0.92, least_bits: float = 2.5, exact: bool = False) -> DataFrame:
+    """``(a, b)``: different normal forms that may be similar.
+
+    Labels are normalised and deduplicated first, so equal labels never meet; those under ``least_bits`` of entropy per character say too
+    little to be merged and take no part. Null labels are left out. By default candidates share a band of their MinHash signatures, which
+    is the engine's own rule and finds pairs of similar trigrams only; labels of a band over ``HOT`` labels are compared by the
+    exact keys instead, so no band is expanded whole. With ``exact`` no pair of the threshold is lost.
+    """
+    n = checkpoint(labels.select(normal_label(F.col(column)).alias("rotulo")).where("rotulo <> ''").distinct().where(entropy(F.col("rotulo")) >= least_bits))
+    keys = lambda d: d.select("rotulo").mapInArrow(_exact_keys(threshold), "rotulo string, banda bigint")
+    if exact:
+        return _met(checkpoint(keys(n)))
+    bands = checkpoint(n.select("rotulo", char_shingles(F.col("rotulo")).alias("s")).mapInArrow(_band_keys, "rotulo string, banda bigint"))
+    size = bands.groupBy("banda").agg(F.count("*").alias("n"))
+    cold = bands.join(size.where(F.col("n").between(2, HOT)).select("banda"), "banda", "left_semi")
+    hot = bands.join(size.where(F.col("n") > HOT).select("banda"), "banda", "left_semi").select("rotulo").distinct()
+    return _met(cold).unionByName(_met(keys(hot))).distinct()
+
+
+def similar_labels(labels: DataFrame, column: str, threshold: float = 0.92, least_bits: float = 2.5, exact: bool = False) -> DataFrame:
+    """``(a, b, sim)``: the pairs of ``label_pairs`` at least as similar as the threshold."""
+    return label_pairs(labels, column, threshold, least_bits, exact).withColumn("sim", jaro_winkler("a", "b")).where(F.col("sim") >= threshold)
 
 
-def resolve(nodes: DataFrame, key: str, label: str, threshold: float = 0.92) -> DataFrame:
+def resolve(nodes: DataFrame, key: str, label: str, threshold: float = 0.92, exact: bool = False) -> DataFrame:
     """``(key, sobrevivente)``: each node whose label is equal or similar to others', and the one that stays.
 
     Similar labels are joined transitively. Of a group the shortest key stays, then the smallest. A node that stays names itself.
     """
     n = checkpoint(nodes.select(F.col(key).alias("k"), normal_label(F.col(label)).alias("rotulo")).where("k IS NOT NULL AND rotulo <> ''").distinct())
-    sim = similar_labels(n, "rotulo", threshold)
+    sim = similar_labels(n, "rotulo", threshold, exact=exact)
     group = components(sim.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     g = n.join(group.withColumnRenamed("node", "rotulo"), "rotulo", "left").select("k", F.coalesce("component", "rotulo").alias("g"))
     best = g.groupBy("g").agg(F.min(F.struct(F.length(F.col("k").cast("string")).alias("n"), F.col("k").alias("k"))).alias("m"), F.count("*").alias("c")).where("c > 1")

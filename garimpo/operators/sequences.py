@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,15 +30,44 @@ def runs(df: DataFrame, by: list[str], order: list[Column], value: str) -> DataF
     return d.groupBy(*by, value, "corrida").agg(F.count("*").alias("tamanho"))
 
 
-def change_points(df: DataFrame, by: list[str], order: list[Column], value: str, half: int = 5) -> DataFrame:
-    """Rows where the mean of ``half`` values from here on is over 2 sigma from that of the ``half`` before."""
+def change_points(df: DataFrame, by: list[str], order: list[Column], value: str, half: int = 5, gap: bool = True) -> DataFrame:
+    """Rows where the mean of ``half`` values from here on is over 2 sigma from that of the ``half`` before, with both means.
+
+    Row i of n counts for half <= i < n - half, from 0. With ``gap`` a row counts only if it is over ``half`` rows behind the last one
+    that counted. Null and NaN values are left out before rows are numbered; a group of equal values has no change.
+    """
     w = Window.partitionBy(*by).orderBy(*order)
-    n = F.count("*").over(Window.partitionBy(*by))
-    d = df.withColumn("__i", F.row_number().over(w)).withColumn("__n", n)
+    whole = Window.partitionBy(*by)
+    d = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).withColumn("__i", F.row_number().over(w)).withColumn("__n", F.count("*").over(whole))
     d = d.withColumn("antes", F.avg(value).over(w.rowsBetween(-half, -1))).withColumn("depois", F.avg(value).over(w.rowsBetween(0, half - 1)))
-    d = d.withColumn("__sd", F.stddev_samp(value).over(Window.partitionBy(*by)))
-    ok = (F.col("__i") > half) & (F.col("__i") <= F.col("__n") - half + 1) & (F.col("__sd") > 0)
-    return d.where(ok & (F.abs(F.col("depois") - F.col("antes")) > 2 * F.col("__sd"))).drop("__i", "__n", "__sd")
+    d = d.withColumn("__sd", F.stddev_samp(value).over(whole))
+    ok = (F.col("__i") > half) & (F.col("__i") <= F.col("__n") - half) & (F.col("__sd") > 0)
+    hit = d.where(ok & (F.abs(F.col("depois") - F.col("antes")) > 2 * F.col("__sd"))).drop("__n", "__sd")
+    return (spaced(hit, by, "__i", half) if gap else hit).drop("__i")
+
+
+def spaced(df: DataFrame, by: list[str], at: str, gap: int) -> DataFrame:
+    """Rows of each group over ``gap`` behind the last row that was kept; the first row stays.
+
+    Greedy, so sequential within a group; rows stream through their task in order and only the last place is held.
+    """
+    out = df.repartition(*by).sortWithinPartitions(*by, at)
+    keys = [df.columns.index(c) for c in by]
+    place = df.columns.index(at)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, kept = object(), None
+        for b in batches:
+            keep = []
+            for *key, i in zip(*[b.column(k).to_pylist() for k in keys], b.column(place).to_pylist()):
+                if key != last or kept is None or i - kept > gap:
+                    last, kept = key, i
+                    keep.append(True)
+                else:
+                    keep.append(False)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return out.mapInArrow(run, df.schema)
 
 
 def outliers(df: DataFrame, by: list[str], value: str, sigmas: float = 2.0) -> DataFrame:
@@ -75,21 +104,20 @@ def rate_limited(calls: DataFrame, by: list[str], at: str, order: str, most: int
     src = calls.select(*cols).where(F.col(at).isNotNull())
     schema = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in cols) + ", espera double"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, window = None, []
-        for pdf in batches:
-            wait = np.zeros(len(pdf))
-            for i, row in enumerate(pdf.itertuples(index=False)):
-                key = tuple("\0" if v is None else v for v in row[:keys])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, window = object(), deque()
+        for b in batches:
+            wait = []
+            for *key, now in zip(*[c.to_pylist() for c in b.columns[: keys + 1]]):
                 if key != last:
-                    last, window = key, []
-                now = row[keys]
+                    last, window = key, deque()
                 while window and now - window[0] >= seconds:
-                    window.pop(0)
+                    window.popleft()
                 if len(window) >= most:
-                    wait[i] = round(seconds - (now - window[0]), 3)
+                    wait.append(round(seconds - (now - window[0]), 3))
                 else:
                     window.append(now)
-            yield pdf.assign(espera=wait)
+                    wait.append(0.0)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(wait, pa.float64())], [*b.schema.names, "espera"])
 
-    return src.repartition(*by).sortWithinPartitions(*by, at, order).mapInPandas(run, schema)
+    return src.repartition(*by).sortWithinPartitions(*by, at, order).mapInArrow(run, schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -121,3 +122,26 @@ def duration_hint(runs: DataFrame, by: str, seconds: Column, wide: float = 10.0)
     d = runs.select(by, seconds.alias("s")).where(F.col("s").isNotNull() & (F.col("s") >= 0))
     g = d.groupBy(by).agg(F.count("*").alias("n"), F.round(F.min("s"), 3).alias("menor"), F.round(F.median("s"), 3).alias("mediana"), F.round(F.max("s"), 3).alias("maior"))
     return g.withColumn("larga", F.when(F.col("menor") > 0, F.col("maior") / F.col("menor") >= wide).otherwise(F.lit(False)))
+
+
+def bulletin(sections: dict[str, tuple[DataFrame, str, Column, Column]], since: float) -> DataFrame:
+    """``(secao, item, n, problemas)`` since an epoch second; each section gives rows, their time, an item and what is a problem."""
+    one = lambda name, df, at, item, bad: df.where(F.col(at) >= since).groupBy(item.cast("string").alias("item")).agg(F.count("*").alias("n"), F.count_if(F.coalesce(bad, F.lit(False))).alias("problemas")).select(F.lit(name).alias("secao"), "item", "n", "problemas")
+    return reduce(DataFrame.unionByName, [one(k, *v) for k, v in sections.items()])
+
+
+def structural_outliers(rows: DataFrame, key: str, meta: str, status: str, rare: float = 0.2, head: float = 0.8) -> DataFrame:
+    """``(key, motivo)``: rows with a key of ``meta`` (JSON) that less than ``rare`` of all rows have, or a ``status`` outside the ``head`` of all.
+
+    Counts are of different row keys; the status values, a handful, are ranked by frequency, ties by name, null last.
+    """
+    d = rows.where(F.col(key).isNotNull())
+    k = d.select(key, F.explode(F.map_keys(F.from_json(meta, "map<string,string>"))).alias("k"))
+    n = d.where(F.col(meta).isNotNull()).agg(F.countDistinct(key).alias("total"))  # one row
+    few = k.groupBy("k").agg(F.countDistinct(key).alias("n")).join(F.broadcast(n)).where(F.col("n") < rare * F.col("total")).select("k")
+    v = rows.groupBy(status).agg(F.count("*").alias("n"))
+    w = Window.orderBy(F.desc("n"), F.asc_nulls_last(status)).rowsBetween(Window.unboundedPreceding, -1)
+    c = v.withColumn("antes", F.coalesce(F.sum("n").over(w), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(1))))
+    tail = c.where(F.col("antes") >= head * F.col("total")).select(F.col(status).alias("__s"))
+    odd = d.join(F.broadcast(tail), F.col(status).eqNullSafe(F.col("__s"))).select(key, F.lit("estado").alias("motivo"))
+    return k.join(few, "k").select(key, F.lit("chave").alias("motivo")).unionByName(odd).groupBy(key).agg(F.max("motivo").alias("motivo"))

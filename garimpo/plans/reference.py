@@ -17,7 +17,8 @@ from garimpo.operators import sequences as W
 from garimpo.operators import sets as S
 from garimpo.operators import usage as U
 from garimpo.operators.components import components
-from garimpo.runtime import load
+from garimpo.operators.resolution import similar_labels
+from garimpo.runtime import checkpoint, load
 
 NOW = 1_790_000_000.0
 SINCE = 1_760_000_000.0
@@ -287,13 +288,36 @@ def w04_best_chunk(spark: SparkSession, d: str) -> DataFrame:
     return S.keep_first(c, ["documento"], [F.desc_nulls_last("n"), F.asc("rid")])
 
 
-@query("""WITH e AS (SELECT user_id, event_id, value, row_number() OVER w AS i, count(*) OVER (PARTITION BY user_id) AS n, avg(value) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS antes, avg(value) OVER (w ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS depois, stddev_samp(value) OVER (PARTITION BY user_id) AS sd FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-SELECT user_id, event_id, round(antes, 4) AS antes, round(depois, 4) AS depois FROM e WHERE i > 5 AND i <= n - 4 AND sd > 0 AND abs(depois - antes) > 2 * sd""")
+_CHANGE = """WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER w AS i, count(*) OVER (PARTITION BY user_id) AS n, avg(value) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS antes, avg(value) OVER (w ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS depois, stddev_samp(value) OVER (PARTITION BY user_id) AS sd FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+c AS (SELECT user_id, event_id, i - 1 AS i, round(antes, 4) AS antes, round(depois, 4) AS depois FROM e WHERE i - 1 >= 5 AND i - 1 < n - 5 AND sd > 0 AND abs(depois - antes) > 2 * sd)"""
+
+
+@query(_CHANGE + """, k AS (SELECT user_id, min(i) AS i FROM c GROUP BY user_id UNION ALL SELECT c.user_id, min(c.i) FROM k JOIN c ON c.user_id = k.user_id AND c.i - k.i > 5 GROUP BY c.user_id, k.i)
+SELECT user_id, event_id, antes, depois FROM c WHERE (user_id, i) IN (SELECT user_id, i FROM k)""")
 def w05_change_points(spark: SparkSession, d: str) -> DataFrame:
+    """Level shifts of each user's values, over five rows apart."""
     c = W.change_points(load(spark, d, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], "value")
     return c.select("user_id", "event_id", F.round("antes", 4).alias("antes"), F.round("depois", 4).alias("depois"))
 
 
+@query(_CHANGE + " SELECT user_id, event_id, antes, depois FROM c")
+def w06_array_change_points(spark: SparkSession, d: str) -> DataFrame:
+    """Every level shift, however near the one before."""
+    c = W.change_points(load(spark, d, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], "value", gap=False)
+    return c.select("user_id", "event_id", F.round("antes", 4).alias("antes"), F.round("depois", 4).alias("depois"))
+
+
+#: A short high stretch among zeros, a group that is too short, equal values, and a null.
+SHIFT = [("a", i, 9.0 if 30 <= i < 35 else 0.0) for i in range(65)] + [("a", 99, None)] + [("b", i, 9.0 if i > 2 else 0.0) for i in range(9)] + [("c", i, 5.0) for i in range(20)]
+
+
+@query("SELECT g, CAST(i AS INT) AS i, antes::DOUBLE AS antes, depois::DOUBLE AS depois FROM (VALUES ('a', 28, 0.0, 5.4), ('a', 34, 7.2, 1.8)) x(g, i, antes, depois)")
+def w05_literal_shift(spark: SparkSession, d: str) -> DataFrame:
+    """Literal rows: of ten places over two deviations, the first and the first over five behind it."""
+    df = spark.createDataFrame(SHIFT, "g string, i int, x double")
+    return W.change_points(df, ["g"], [F.col("i")], "x").select("g", "i", F.round("antes", 4).alias("antes"), F.round("depois", 4).alias("depois"))
+
+
 @query("SELECT event_id FROM events JOIN (SELECT event_type, avg(value) AS m, stddev_samp(value) AS sd FROM events GROUP BY 1) USING (event_type) WHERE sd > 0 AND abs(value - m) > 2 * sd")
 def w07_outliers(spark: SparkSession, d: str) -> DataFrame:
     return W.outliers(load(spark, d, "events"), ["event_type"], "value").select("event_id")
@@ -317,7 +341,11 @@ def w10_monotone_share(spark: SparkSession, d: str) -> DataFrame:
     return W.monotone_share(load(spark, d, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], "value")
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT cliente, ferramenta, em, row_number() OVER (PARTITION BY cliente, ferramenta ORDER BY em) AS i FROM (SELECT DISTINCT * FROM chamadas) WHERE em IS NOT NULL),
+r AS (SELECT cliente, ferramenta, em, i, [em] AS ok, 0.0::DOUBLE AS espera FROM c WHERE i = 1
+UNION ALL SELECT c.cliente, c.ferramenta, c.em, c.i, CASE WHEN len(list_filter(ok, lambda x: c.em - x < 600)) >= 3 THEN list_filter(ok, lambda x: c.em - x < 600) ELSE list_append(list_filter(ok, lambda x: c.em - x < 600), c.em) END,
+CASE WHEN len(list_filter(ok, lambda x: c.em - x < 600)) >= 3 THEN round(600 - (c.em - list_min(list_filter(ok, lambda x: c.em - x < 600))), 3) ELSE 0 END FROM r JOIN c ON c.i = r.i + 1 AND c.cliente IS NOT DISTINCT FROM r.cliente AND c.ferramenta IS NOT DISTINCT FROM r.ferramenta)
+SELECT cliente, ferramenta, em, espera FROM r""")
 def w11_rate_limit(spark: SparkSession, d: str) -> DataFrame:
     """At most 3 calls a client and tool in 600 s, repeated deliveries apart."""
     c = load(spark, d, "chamadas").distinct().withColumn("h", F.xxhash64("em", "ferramenta", "cliente", "segundos", "chars_entrada"))
@@ -350,8 +378,8 @@ def k01_exact_knn(spark: SparkSession, d: str) -> DataFrame:
     return R.knn_blocks(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding", 10)
 
 
-_BM_Q = "SELECT id AS qid, list_distinct(list_filter(regexp_extract_all(lower(texto), '([a-z0-9]+)', 1), lambda t: length(t) >= 3)) AS terms FROM consultas WHERE id % 100 = 0 AND texto IS NOT NULL"
-_BM_SQL = f"""WITH q AS ({_BM_Q}), t AS (SELECT id AS doc, unnest(regexp_extract_all(lower(coalesce(title, '')), '([a-z0-9]+)', 1)) AS term, 3.0 AS w FROM skills UNION ALL SELECT id, unnest(regexp_extract_all(lower(coalesce(content, '')), '([a-z0-9]+)', 1)), 1.0 FROM skills),
+_BM_Q = "SELECT id AS qid, list_distinct(regexp_extract_all(strip_accents(lower(texto)), '([\\p{L}\\p{N}]+)', 1)) AS terms FROM consultas WHERE id % 100 = 0 AND texto IS NOT NULL"
+_BM_SQL = f"""WITH q AS ({_BM_Q}), t AS (SELECT id AS doc, unnest(regexp_extract_all(strip_accents(lower(coalesce(title, ''))), '([\\p{{L}}\\p{{N}}]+)', 1)) AS term, 3.0 AS w FROM skills UNION ALL SELECT id, unnest(regexp_extract_all(strip_accents(lower(coalesce(content, ''))), '([\\p{{L}}\\p{{N}}]+)', 1)), 1.0 FROM skills),
 tf AS (SELECT term, doc, sum(w)::DOUBLE AS tf FROM t GROUP BY ALL), len AS (SELECT doc, sum(tf) AS l FROM tf GROUP BY doc), st AS (SELECT count(*) AS n, avg(l) AS a FROM len), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 qt AS (SELECT DISTINCT qid, unnest(terms) AS term FROM q),
 s AS (SELECT qid, tf.doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf.tf * 2.2 / (tf.tf + 1.2 * (0.25 + 0.75 * l / a))), 6) AS score FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN len USING (doc), st GROUP BY ALL),
@@ -360,9 +388,9 @@ lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sc
 
 
 def _lexical(spark: SparkSession, d: str) -> DataFrame:
-    q = load(spark, d, "consultas").where("id % 100 = 0 AND texto IS NOT NULL").select(F.col("id").alias("qid"), F.filter(R.plain_terms(F.col("texto")), lambda t: F.length(t) >= 3).alias("terms"))
-    tf, lens = R.postings(load(spark, d, "skills"), "id", {"title": 3.0, "content": 1.0})
-    return R.bm25(q, tf, lens, 10)
+    q = checkpoint(load(spark, d, "consultas").where("id % 100 = 0 AND texto IS NOT NULL").select(F.col("id").alias("qid"), R.plain_terms(F.col("texto")).alias("terms")))
+    tf, lens = R.postings(load(spark, d, "skills"), "id", {"title": 3.0, "content": 1.0}, q.select(F.explode("terms").alias("term")))
+    return R.bm25(q, checkpoint(tf), checkpoint(lens), 10)
 
 
 @query(_BM_SQL + "SELECT qid, doc, score, posicao FROM lex")
@@ -437,21 +465,30 @@ def u01_graph_diff(spark: SparkSession, d: str) -> DataFrame:
     return S.diff(t.where("t < m").select("n", "p").distinct(), t.where("t >= m").select("n", "p").distinct(), ["n", "p"])
 
 
-@query("""WITH b AS (SELECT id, hash, confianca, melhor FROM consultas WHERE id % 2 = 0), x AS (SELECT id, hash, nullif(confianca, '') AS confianca, CAST(NULL AS DOUBLE) AS melhor FROM consultas WHERE id % 3 = 0)
-SELECT id, coalesce(x.hash, b.hash) AS hash, coalesce(x.confianca, b.confianca) AS confianca, coalesce(x.melhor, b.melhor) AS melhor FROM b FULL JOIN x USING (id)""")
-def u08_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """Every third query merged into every second one, as its SQL has them; ``u08_upsert_all`` takes whole tables."""
-    c = load(spark, d, "consultas")
-    delta = c.where("id % 3 = 0").select("id", "hash", F.nullif("confianca", F.lit("")).alias("confianca"))
-    return S.upsert(c.where("id % 2 = 0").select("id", "hash", "confianca", "melhor"), delta, ["id"])
+_U08 = "x AS (SELECT consulta AS id, CAST(count(DISTINCT caminho) AS INT) AS n FROM devolvidas WHERE consulta > 0 GROUP BY 1)"
 
 
-@query("""WITH x AS (SELECT consulta AS id, CAST(count(DISTINCT caminho) AS INT) AS n FROM devolvidas WHERE consulta > 0 GROUP BY 1)
-SELECT id, b.hash, b.confianca, b.melhor, coalesce(x.n, b.n) AS n FROM consultas b FULL JOIN x USING (id)""")
-def u08_upsert_all(spark: SparkSession, d: str) -> DataFrame:
-    """All queries, merged with the number of different paths returned to each; lost queries come out with that alone."""
+def _returned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     n = load(spark, d, "devolvidas").where("consulta > 0").groupBy(F.col("consulta").alias("id")).agg(F.countDistinct("caminho").cast("int").alias("n"))
-    return S.upsert(load(spark, d, "consultas").select("id", "hash", "confianca", "melhor", "n"), n, ["id"])
+    return load(spark, d, "consultas").select("id", "hash", "confianca", "melhor", "n"), n
+
+
+@query(f"WITH {_U08} SELECT id, b.hash, b.confianca, b.melhor, coalesce(x.n, b.n) AS n FROM consultas b FULL JOIN x USING (id)")
+def u08_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """All queries, merged with the number of different paths returned to each; lost queries come out with that alone."""
+    return S.upsert(*_returned(spark, d), ["id"])
+
+
+@query(f"WITH {_U08} SELECT id, b.hash, b.confianca, b.melhor, CASE WHEN b.id IS NULL THEN x.n ELSE b.n END AS n FROM consultas b FULL JOIN x USING (id)")
+def u08_add(spark: SparkSession, d: str) -> DataFrame:
+    """The same, ignoring queries that are there."""
+    return S.upsert(*_returned(spark, d), ["id"], "add")
+
+
+@query(f"WITH {_U08} SELECT id, b.hash, b.confianca, b.melhor, coalesce(x.n, b.n) AS n FROM consultas b LEFT JOIN x USING (id)")
+def u08_update(spark: SparkSession, d: str) -> DataFrame:
+    """The same, ignoring queries that are not there."""
+    return S.upsert(*_returned(spark, d), ["id"], "update")
 
 
 @query("SELECT id, source_repo FROM skills WHERE NOT coalesce(category IS NOT NULL AND char_count < 1000 AND source_repo IN (SELECT source_repo FROM skills WHERE source_repo IS NOT NULL GROUP BY 1 HAVING count(*) > 10), false)")
@@ -480,16 +517,25 @@ def d03_label_shingles(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "part").select("p_partkey", F.size(E.char_shingles(F.col("p_name"))).cast("long").alias("trigramas"))
 
 
-@query("""WITH n AS (SELECT DISTINCT nota FROM fatos WHERE nota IS NOT NULL), l AS (SELECT DISTINCT ks, ks[1:4] AS bloco FROM fatos WHERE ks IS NOT NULL AND length(ks) >= 4)
-SELECT a.ks AS a, b.ks AS b, round(jaro_winkler_similarity(a.ks, b.ks), 6) AS sim FROM l a JOIN l b ON a.bloco = b.bloco AND a.ks < b.ks WHERE jaro_winkler_similarity(a.ks, b.ks) >= 0.9""")
+_NORM = lambda c: f"trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+#: Distinct normal forms that say enough, by the letters' entropy.
+_LABELS = lambda c, t: f"""l AS (SELECT DISTINCT {_NORM(c)} AS l FROM {t} WHERE {c} IS NOT NULL), ch AS (SELECT l, unnest(string_split(l, '')) AS c FROM l WHERE l <> ''),
+fr AS (SELECT l, count(*)::DOUBLE / any_value(length(l)) AS p FROM ch GROUP BY l, c), g AS (SELECT l FROM fr GROUP BY l HAVING -sum(p * log2(p)) >= 2.5)"""
+
+
+@query(f"WITH {_LABELS('ks', 'fatos')} SELECT a.l AS a, b.l AS b, round(jaro_winkler_similarity(a.l, b.l), 6) AS sim FROM g a JOIN g b ON a.l < b.l WHERE jaro_winkler_similarity(a.l, b.l) >= 0.9")
 def d06_similar_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of subjects of one 4-letter block with Jaro-Winkler of 0.9 or more."""
-    k = load(spark, d, "fatos").where("ks IS NOT NULL AND length(ks) >= 4").select("ks").distinct().withColumn("bloco", F.substring("ks", 1, 4))
-    p = k.select(F.col("ks").alias("a"), "bloco").join(k.select(F.col("ks").alias("b"), "bloco"), "bloco").where("a < b")
-    return p.select("a", "b", F.round(E.jaro_winkler("a", "b"), 6).alias("sim")).where("sim >= 0.9")
+    """All pairs of subjects with Jaro-Winkler of 0.9 or more."""
+    return similar_labels(load(spark, d, "fatos"), "ks", 0.9, exact=True).withColumn("sim", F.round("sim", 6))
 
 
-@query()
+_BIT = ", ".join(f"sum((h >> {i}) & 1) AS b{i}" for i in range(64))
+_MARK = " + ".join(f"CASE WHEN 2 * b{i} > n THEN {1 << i}::HUGEINT ELSE 0 END" for i in range(64))
+
+
+@query(f"""WITH g AS (SELECT id, unnest(list_transform(range(1, greatest(length(content) - 2, 2)), lambda i: substring(content, i, 4))) AS g FROM skills WHERE content IS NOT NULL),
+h AS (SELECT id, CAST(CAST('0x' || substring(md5(g), 1, 16) AS UBIGINT) AS UBIGINT) AS h FROM g), b AS (SELECT id, count(*) AS n, {_BIT} FROM h GROUP BY id), m AS (SELECT id, {_MARK} AS m FROM b)
+SELECT id, CAST(CASE WHEN m >= 9223372036854775808::HUGEINT THEN m - 18446744073709551616::HUGEINT ELSE m END AS BIGINT) AS marca FROM skills LEFT JOIN m USING (id)""")
 def d14_simhash(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "skills").select("id", E.simhash("content").alias("marca"))
 
@@ -554,16 +600,34 @@ def g01_neighbors(spark: SparkSession, d: str) -> DataFrame:
     return G.neighbors_of(_edges(spark, d), ids, 20).select("id", "sentido", "relation", "vizinho", "grau", "ordem")
 
 
-@query()
+@query("SELECT * FROM (VALUES ('a', 'a'), ('b', 'a'), ('c', 'a'), ('d', 'a'), ('w', 'w'), ('x', 'w'), ('y', 'w'), ('z', 'w'), ('p', 'p'), ('q', 'p')) v(id, community)")
 def g07_communities(spark: SparkSession, d: str) -> DataFrame:
-    return G.communities(_edges(spark, d), 4)
+    """Two groups of four, each knit closely, with one edge between them, and a pair apart."""
+    four = lambda g: [(x, y) for i, x in enumerate(g) for y in g[i + 1 :]]
+    return G.communities(spark.createDataFrame([*four("abcd"), *four("wxyz"), ("d", "w"), ("p", "q")], "source string, target string"))
 
 
-@query(_G + " SELECT 'C' || c_custkey AS src, 'R' || n_regionkey AS dst, 2 AS passos, 'C' || c_custkey || '>N' || c_nationkey || '>R' || n_regionkey AS caminho FROM customer JOIN nation ON c_nationkey = n_nationkey")
+@query()
+def g07_all_communities(spark: SparkSession, d: str) -> DataFrame:
+    return G.communities(_edges(spark, d))
+
+
+@query(_G + " SELECT 'C' || c_custkey AS src, 'R' || n_regionkey AS dst, 2 AS passos, 'C' || c_custkey || '>N' || c_nationkey || '>R' || n_regionkey AS caminho, '>>' AS sentidos, true AS dirigido FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def g02_shortest_paths(spark: SparkSession, d: str) -> DataFrame:
     """From every customer to its region."""
     pairs = load(spark, d, "customer").join(load(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("C"), "c_custkey").alias("src"), F.concat(F.lit("R"), "n_regionkey").alias("dst"))
-    return G.shortest_paths(_edges(spark, d), pairs, 3).withColumn("caminho", F.array_join("caminho", ">"))
+    return G.shortest_paths(_edges(spark, d), pairs).withColumn("caminho", F.array_join("caminho", ">"))
+
+
+@query(_G + """ SELECT 'R' || a.r_regionkey AS src, 'R' || b.r_regionkey AS dst, 0 AS passos, 'R' || a.r_regionkey AS caminho, '' AS sentidos, true AS dirigido FROM region a JOIN region b ON a.r_regionkey = b.r_regionkey
+UNION ALL SELECT 'N' || a.n_nationkey, 'N' || b.n_nationkey, 2, 'N' || a.n_nationkey || '>R' || a.n_regionkey || '>N' || b.n_nationkey, '><', false FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey""")
+def g02_undirected_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Between nations, which meet only against the edges' direction, and from each region to itself."""
+    nat = load(spark, d, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("x"))
+    reg = load(spark, d, "region").select(F.concat(F.lit("R"), "r_regionkey").alias("x"))
+    pairs = nat.toDF("src").crossJoin(F.broadcast(nat.toDF("dst"))).where("src <> dst").unionByName(reg.select(F.col("x").alias("src"), F.col("x").alias("dst")))  # 25 nations
+    nations = _edges(spark, d).where("relation = 'references'")
+    return G.shortest_paths(nations, pairs).withColumn("caminho", F.array_join("caminho", ">"))
 
 
 @query(_G + ", n AS (SELECT 'R' || r_regionkey AS id, r_name AS label FROM region UNION ALL SELECT 'N' || n_nationkey, n_name FROM nation UNION ALL SELECT 'C' || c_custkey, c_name FROM customer UNION ALL SELECT 'S' || s_suppkey, s_name FROM supplier) SELECT 'MERGE (n {id: ''' || id || '''}) SET n.label = ''' || label || ''';' AS linha FROM n UNION ALL SELECT 'MATCH (a {id: ''' || source || '''}), (b {id: ''' || target || '''}) MERGE (a)-[:' || upper(relation) || ']->(b);' FROM e")
@@ -580,19 +644,13 @@ def t01_fixed_chunks(spark: SparkSession, d: str) -> DataFrame:
     return X.fixed_chunks(load(spark, d, "chunks"), "rid", "id", "doc")
 
 
-@query("SELECT id, substring(sha1(trim(regexp_replace(lower(texto), '\\s+', ' ', 'g'))), 1, 16) AS marca FROM consultas WHERE texto IS NOT NULL AND NOT regexp_matches(texto, '[^\\x00-\\x7f]')")
+@query("SELECT id, substring(sha1(trim(regexp_replace(lower(texto), '\\s+', ' ', 'g'))), 1, 16) AS marca FROM consultas WHERE texto IS NOT NULL")
 def t47_query_hash(spark: SparkSession, d: str) -> DataFrame:
-    """ASCII texts only, as its SQL has them; ``t47_query_hash_all`` hashes every text."""
-    return load(spark, d, "consultas").where(F.col("texto").isNotNull() & (F.octet_length("texto") == F.length("texto"))).select("id", X.query_hash(F.col("texto")).alias("marca"))
-
-
-@query()
-def t47_query_hash_all(spark: SparkSession, d: str) -> DataFrame:
-    """The mark of every text that is not null, accented ones too."""
+    """The mark of every text that is not null."""
     return load(spark, d, "consultas").where(F.col("texto").isNotNull()).select("id", X.query_hash(F.col("texto")).alias("marca"))
 
 
-@query("SELECT id, array_to_string(list_filter(regexp_extract_all(lower(regexp_replace(regexp_replace(title, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')), '([a-z0-9]+)', 1), lambda x: length(x) > 1), ' ') AS termos FROM skills")
+@query("SELECT id, array_to_string(list_filter(regexp_extract_all(strip_accents(lower(regexp_replace(title, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'))), '([a-z0-9]+)', 1), lambda x: length(x) > 1), ' ') AS termos FROM skills")
 def t08_identifier_terms(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "skills").select("id", F.array_join(X.identifier_terms(F.col("title")), " ").alias("termos"))
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from garimpo.runtime import checkpoint
+
 
 def access_counts(opens: DataFrame, key: str = "caminho", at: str = "em") -> DataFrame:
     """Running total and last access per key; run in update or complete mode."""
@@ -75,17 +77,37 @@ def alerts(checks: DataFrame, hold: float) -> DataFrame:
     return checks.groupBy("chave").applyInPandasWithState(run, "chave string, em double, evento string", "since double, fired boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def merge_changes(feed: DataFrame, target: str, key: str, seq: str):  # noqa: ANN201
-    """A ``foreachBatch`` sink that keeps the latest change of each key in versions of a folder.
+#: Buckets of a merged table: a batch rewrites only those it has changes for.
+BUCKETS = 64
+
+
+def merge_changes(feed: DataFrame, target: str, key: str, seq: str, op: str | None = None, buckets: int = BUCKETS):  # noqa: ANN201
+    """A ``foreachBatch`` sink that keeps the latest change of each key in a table of ``buckets`` folders; ``current`` reads it.
 
-    Each batch writes a new version beside the last one, so a batch that is run again after a failure gives the same.
+    Only buckets with changes are read and replaced. A batch that runs again gives the same, as the greatest ``seq`` decides. Deletes
+    (``op`` d) stay as marks, so that an older change that comes late does not bring a row back. The number of buckets is fixed by the
+    first batch.
     """
 
-    def sink(batch: DataFrame, epoch: int) -> None:
+    def sink(batch: DataFrame, epoch: int) -> None:  # noqa: ARG001
         spark = batch.sparkSession
-        rows = batch
-        if epoch > 0:
-            rows = spark.read.parquet(f"{target}/v={epoch - 1}").unionByName(batch)
-        rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), seq).alias("r")).select(key, "r.*").select(rows.columns).write.mode("overwrite").parquet(f"{target}/v={epoch}")
+        rows = checkpoint(batch.where(F.col(key).isNotNull() & F.col(seq).isNotNull()).withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")))
+        touched = [r[0] for r in rows.select("__bucket").distinct().collect()]  # at most ``buckets`` numbers
+        if not touched:
+            return
+        own = rows
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)  # noqa: SLF001
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):  # noqa: SLF001
+            old = spark.read.schema(rows.schema).parquet(target).where(F.col("__bucket").isin(touched))
+            own = own.unionByName(old)
+        rest = [c for c in rows.columns if c not in (key, "__bucket")]
+        latest = own.groupBy(key, "__bucket").agg(F.max_by(F.struct(*rest), seq).alias("r")).select(key, "r.*", "__bucket").select(rows.columns)
+        checkpoint(latest).repartition("__bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("__bucket").parquet(target)
 
     return feed.writeStream.foreachBatch(sink)
+
+
+def current(spark: SparkSession, target: str, op: str | None = None) -> DataFrame:
+    """Rows of a merged table that are not deleted."""
+    t = spark.read.parquet(target)
+    return (t if op is None else t.where(F.coalesce(F.lower(F.trim(op)) != "d", F.lit(True)))).drop("__bucket")

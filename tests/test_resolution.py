@@ -33,3 +33,19 @@ def test_edges_follow(spark):
     e = spark.createDataFrame([("a", "b", "r"), ("b", "c", "r"), ("a", "c", "r"), ("c", "c", "r"), (None, "c", "r")], "source string, target string, relation string")
     assert sorted(tuple(r) for r in E.remap_edges(e, s, "id").select("source", "target", "relation").collect()) == [("a", "c", "r"), ("c", "c", "r")]
     assert E.resolve(spark.createDataFrame([], "id string, label string"), "id", "label").count() == 0
+
+
+def test_exact_candidates_lose_nothing(spark):
+    import random
+
+    from garimpo.operators.entities import jaro_winkler_of
+
+    r = random.Random(4)
+    base = ["".join(r.choice("abcdeioprst 01") for _ in range(r.randrange(4, 18))).strip() for _ in range(60)]
+    edit = lambda t: t[: (i := r.randrange(len(t)))] + r.choice(["", "x", t[i] * 2]) + t[i + 1 :]
+    labels = sorted({" ".join(x.split()) for b in base for x in (b, edit(b), edit(edit(b)), b[1:], "z" + b) if len(x.strip()) > 1})
+    got = {(x.a, x.b) for x in E.similar_labels(spark.createDataFrame([(t,) for t in labels] + [(None,)], "l string"), "l", 0.9, 0.0, exact=True).collect()}
+    want = {(a, b) for a in labels for b in labels if a < b and jaro_winkler_of(a, b) >= 0.9}
+    assert got == want and len(want) > 100
+    few = {(x.a, x.b) for x in E.similar_labels(spark.createDataFrame([(t,) for t in labels], "l string"), "l", 0.9, 0.0).collect()}
+    assert few <= want and few

@@ -49,11 +49,12 @@ def test_windows_close_once(spark, tmp_path):
 
 
 def test_change_sink_keeps_the_latest(spark, tmp_path):
-    s = _stream(spark, tmp_path / "d", [[(1, 1, "a"), (2, 1, "b")], [(1, 3, "c"), (2, 0, "old")]], "k int, seq int, v string")
-    q = stateful.merge_changes(s, str(tmp_path / "out"), "k", "seq").option("checkpointLocation", str(tmp_path / "cp")).start()
+    s = _stream(spark, tmp_path / "d", [[(1, 1, "u", "a"), (2, 1, "u", "b"), (5, 9, "D ", None)], [(1, 3, "u", "c"), (2, 0, "u", "old"), (5, 8, "u", "late"), (None, 1, "u", "x")]], "k int, seq int, op string, v string")
+    q = stateful.merge_changes(s, str(tmp_path / "out"), "k", "seq", "op", 4).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
-    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out" / "v=1")).collect()) == [(1, 3, "c"), (2, 1, "b")]
+    assert sorted(tuple(r) for r in stateful.current(spark, str(tmp_path / "out"), "op").select("k", "seq", "v").collect()) == [(1, 3, "c"), (2, 1, "b")]
+    assert stateful.current(spark, str(tmp_path / "out")).count() == 3
 
 
 def test_json_lines_skip_bad_ones(spark, tmp_path):
