@@ -122,11 +122,10 @@ def log_level(c: Column) -> Column:
 
 
 def normal_warning(c: Column) -> Column:
-    """A log line after its first ``:`` or ``=`` with numbers, addresses and paths made alike."""
+    """A log line whose digits, hexadecimal addresses and paths are made alike, in this order, from its first ``:`` or ``=`` on."""
     i = F.regexp_instr(c, F.lit("[:=]"))
-    head, tail = F.when(i > 0, F.substring(c, F.lit(1), i)).otherwise(F.lit("")), F.when(i > 0, F.substring(c, i + 1, F.length(c))).otherwise(c)
-    tail = F.regexp_replace(F.regexp_replace(F.regexp_replace(tail, "0x[0-9a-fA-F]+", "ADDR"), r"/[\w./-]+", "/PATH/"), "[0-9]+", "N")
-    return F.when(i > 0, F.concat(head, tail)).otherwise(c)
+    tail = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.substring(c, i, F.length(c)), "[0-9]+", "N"), "0x[0-9a-fA-F]+", "ADDR"), r"/[\w/]+/", "/PATH/")
+    return F.when(i > 0, F.concat(F.substring(c, F.lit(1), i - 1), tail)).otherwise(c)
 
 
 def human_age(seconds: Column) -> Column:

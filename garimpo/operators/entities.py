@@ -77,7 +77,8 @@ jaro_winkler, jaro_similarity = _similarity(jaro_winkler_of), _similarity(jaro)
 
 
 def simhash_of(text: str) -> int:
-    """64 bits, each the strict majority over the MD5 prefixes of all runs of 4 characters."""
+    """64 bits, each the strict majority over the MD5 prefixes of all runs of 4 characters of the lower-cased text."""
+    text = text.lower()
     votes = np.zeros(64, np.int64)
     grams = [text[i : i + 4] for i in range(max(1, len(text) - 3))]
     raw = np.frombuffer(b"".join(hashlib.md5(g.encode("utf-8", "surrogatepass")).digest()[:8] for g in grams), dtype=np.uint8).reshape(-1, 8)

@@ -87,8 +87,8 @@ def u06_last_writer(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH l AS (SELECT unnest(string_split(text, E'\\n')) AS l FROM documents WHERE lower(trim(source)) = 'log' AND text IS NOT NULL),
-w AS (SELECT l, regexp_extract(l, '^[^:=]*[:=]') AS h FROM l WHERE regexp_matches(l, '(?i)\\bwarn(ing)?\\b')),
-k AS (SELECT h || regexp_replace(regexp_replace(regexp_replace(substring(l, length(h) + 1), '0x[0-9a-fA-F]+', 'ADDR', 'g'), '/[A-Za-z0-9_./-]+', '/PATH/', 'g'), '[0-9]+', 'N', 'g') AS aviso FROM w WHERE h <> '')
+w AS (SELECT l, regexp_extract(l, '^[^:=]*') AS h FROM l WHERE regexp_matches(l, '(?i)\\bwarn(ing)?\\b') AND regexp_matches(l, '[:=]')),
+k AS (SELECT h || regexp_replace(regexp_replace(regexp_replace(substring(l, length(h) + 1), '[0-9]+', 'N', 'g'), '0x[0-9a-fA-F]+', 'ADDR', 'g'), '/[A-Za-z0-9_/]+/', '/PATH/', 'g') AS aviso FROM w)
 SELECT aviso, count(*) AS vezes FROM k GROUP BY 1""")
 def d19_warnings(spark: SparkSession, d: str) -> DataFrame:
     docs = load(spark, d, "documents").where((F.lower(F.trim("source")) == "log") & F.col("text").isNotNull())

@@ -533,7 +533,7 @@ _BIT = ", ".join(f"sum((h >> {i}) & 1) AS b{i}" for i in range(64))
 _MARK = " + ".join(f"CASE WHEN 2 * b{i} > n THEN {1 << i}::HUGEINT ELSE 0 END" for i in range(64))
 
 
-@query(f"""WITH g AS (SELECT id, unnest(list_transform(range(1, greatest(length(content) - 2, 2)), lambda i: substring(content, i, 4))) AS g FROM skills WHERE content IS NOT NULL),
+@query(f"""WITH g AS (SELECT id, unnest(list_transform(range(1, greatest(length(lower(content)) - 2, 2)), lambda i: substring(lower(content), i, 4))) AS g FROM skills WHERE content IS NOT NULL),
 h AS (SELECT id, CAST(CAST('0x' || substring(md5(g), 1, 16) AS UBIGINT) AS UBIGINT) AS h FROM g), b AS (SELECT id, count(*) AS n, {_BIT} FROM h GROUP BY id), m AS (SELECT id, {_MARK} AS m FROM b)
 SELECT id, CAST(CASE WHEN m >= 9223372036854775808::HUGEINT THEN m - 18446744073709551616::HUGEINT ELSE m END AS BIGINT) AS marca FROM skills LEFT JOIN m USING (id)""")
 def d14_simhash(spark: SparkSession, d: str) -> DataFrame:
