@@ -145,3 +145,36 @@ def structural_outliers(rows: DataFrame, key: str, meta: str, status: str, rare:
     tail = c.where(F.col("antes") >= head * F.col("total")).select(F.col(status).alias("__s"))
     odd = d.join(F.broadcast(tail), F.col(status).eqNullSafe(F.col("__s"))).select(key, F.lit("estado").alias("motivo"))
     return k.join(few, "k").select(key, F.lit("chave").alias("motivo")).unionByName(odd).groupBy(key).agg(F.max("motivo").alias("motivo"))
+
+
+def history_statistics(versions: DataFrame, path: str, content: str) -> DataFrame:
+    """One row: versions, different paths, bytes of their contents."""
+    return versions.agg(F.count("*").alias("versoes"), F.countDistinct(path).alias("caminhos"), F.coalesce(F.sum(F.octet_length(F.coalesce(content, F.lit(""))).cast("long")), F.lit(0)).alias("bytes"))
+
+
+def savings(requests: DataFrame, by: str, before: str, after: str) -> DataFrame:
+    """``(by, pedidos, antes, depois, poupado)``: sizes before and after, and the share that was saved; null where nothing came in."""
+    a, b = F.sum(F.coalesce(before, F.lit(0)).cast("long")), F.sum(F.coalesce(after, F.lit(0)).cast("long"))
+    g = requests.groupBy(F.coalesce(by, F.lit("")).alias(by)).agg(F.count("*").alias("pedidos"), a.alias("antes"), b.alias("depois"))
+    return g.withColumn("poupado", F.round(F.when(F.col("antes") > 0, 1 - F.col("depois") / F.col("antes")), 4))
+
+
+def salience(votes: DataFrame, by: str, at: str, vote: str) -> DataFrame:
+    """``(by, saliencia)``: ordered votes folded. A stale or wrong vote sets the floor whatever came before, so only votes from the last of these on are gathered."""
+    v = votes.select(by, F.col(at).alias("__at"), F.col(vote).alias("__v"))
+    reset = v.where(F.col("__v").isin("stale", "wrong")).groupBy(by).agg(F.max("__at").alias("__from"))
+    rest = v.join(reset, by, "left").where(F.col("__from").isNull() | (F.col("__at") >= F.col("__from")))
+    return rest.groupBy(by).agg(salience_after(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__v"))), lambda x: x["__v"])).alias("saliencia"))
+
+
+def breached(rules: dict[str, tuple[DataFrame, float]]) -> DataFrame:
+    """``(regra, alvo, valor)``: what is over each rule's limit; a rule gives ``(alvo, valor)``."""
+    one = lambda name, df, limit: df.where(F.col("valor") > limit).select(F.lit(name).alias("regra"), F.col("alvo").cast("string").alias("alvo"), F.round("valor", 6).alias("valor"))
+    return reduce(DataFrame.unionByName, [one(k, *v) for k, v in rules.items()])
+
+
+def united(parts: list[DataFrame], keys: list[str]) -> DataFrame:
+    """The rows of several extractions, of equal keys that of the last one."""
+    every = reduce(DataFrame.unionByName, [p.withColumn("__i", F.lit(i)) for i, p in enumerate(parts)])
+    rest = [c for c in parts[0].columns if c not in keys]
+    return every.groupBy(*keys).agg(F.max_by(F.struct(*rest), "__i").alias("__r")).select(*keys, "__r.*").select(parts[0].columns)
