@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from garimpo.operators.components import components
-from garimpo.operators.entities import entropy, jaro_similarity, jaro_winkler, normal_label
-from garimpo.operators.resolution import label_pairs
+from garimpo.operators.entities import entropy, normal_label
+from garimpo.operators.resolution import label_pairs, scored_pairs
 from garimpo.runtime import checkpoint
 
 #: Least score of a merge, bonus for one community, length from which labels are long, bits per character, types tied to a file.
@@ -70,7 +70,7 @@ def merge_map(nodes: DataFrame, exact: bool = True) -> DataFrame:
     says = entropy(F.col("l")) >= BITS
     k = checkpoint(n.groupBy("k").agg(F.any_value("l").alias("l"), F.any_value("f").alias("f"), F.any_value("t").alias("t"), F.any_value("c").alias("c")).withColumn("says", says))
     pairs = label_pairs(k.where("says"), "l", (MERGE - BONUS) / 100, BITS, exact)
-    scored = checkpoint(pairs.select("a", "b", (jaro_winkler("a", "b") * 100).alias("jw"), (jaro_similarity("a", "b") * 100).alias("j")).where(F.greatest("jw", "j") >= MERGE - BONUS))
+    scored = scored_pairs(pairs, (MERGE - BONUS) / 100, either=True).select("a", "b", (F.col("jw") * 100).alias("jw"), (F.col("j") * 100).alias("j"))
     a, b = F.col("a"), F.col("b")
     kept = scored.where(~variant_pair(a, b) & ~extends(a, b) & ~numbers_differ(a, b))
     side = lambda x: k.where("says").select(F.col("l").alias(x), *[F.col(c).alias(f"{c}{x}") for c in "kftc"])

@@ -65,15 +65,58 @@ def jaro_winkler_of(a: str, b: str) -> float:
     return s + 0.1 * p * (1 - s)
 
 
-def _similarity(of):  # noqa: ANN001, ANN202
+def jaro_batch(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Jaro similarities of pairs of labels, and how many of the first four letters are the same. All pairs advance together, a letter of
+    ``a`` a round: each takes the first equal letter of ``b`` within reach that is still free."""
+    n = len(a)
+    la, lb = np.fromiter(map(len, a), np.int64, n), np.fromiter(map(len, b), np.int64, n)
+    wide_a, wide_b = max(4, int(la.max(initial=0))), max(4, int(lb.max(initial=0)))
+    grid = lambda x, w: np.frombuffer("".join(t.ljust(w, "\0") for t in x).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, w)
+    x, y = grid(a, wide_a), grid(b, wide_b)
+    reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)
+    at = np.arange(wide_b)
+    free = at[None, :] < lb[:, None]
+    mine = np.zeros((n, wide_a), bool)
+    rows = np.arange(n)
+    for i in range(wide_a):
+        ok = free & (y == x[:, i : i + 1]) & (np.abs(at[None, :] - i) <= reach[:, None]) & (i < la)[:, None]
+        j = ok.argmax(axis=1)
+        hit = ok[rows, j]
+        mine[:, i] = hit
+        free[rows[hit], j[hit]] = False
+    used = (at[None, :] < lb[:, None]) & ~free
+    m = mine.sum(axis=1)
+    seq = np.zeros((2, n, max(wide_a, wide_b)), np.uint32)
+    for k, (chars, mask) in enumerate(((x, mine), (y, used))):
+        r, c = np.nonzero(mask)
+        seq[k, r, (np.cumsum(mask, axis=1) - 1)[r, c]] = chars[r, c]
+    swaps = (seq[0] != seq[1]).sum(axis=1) // 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        s = np.where(m > 0, (m / la + m / lb + (m - swaps) / m) / 3, 0.0)
+    same = (x[:, :4] == y[:, :4]) & (x[:, :4] != 0)
+    return s, np.cumprod(same, axis=1).sum(axis=1)
+
+
+def _similarity(winkler: bool):  # noqa: ANN202
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else of(x, y) for x, y in zip(a, b)], dtype="float64")
+        out = np.full(len(a), np.nan)
+        at = np.flatnonzero((a.notna() & b.notna()).to_numpy())
+        size = (a.str.len().fillna(0) + b.str.len().fillna(0)).to_numpy()
+        at = at[np.argsort(size[at], kind="stable")]  # labels of like length together, so that little is padded
+        i = 0
+        while i < len(at):
+            step = max(1, min(4096, 2_000_000 // max(16, int(size[at[min(len(at), i + 4096) - 1]]) ** 2)))
+            part = at[i : i + step]
+            s, p = jaro_batch(a.iloc[part].to_list(), b.iloc[part].to_list())
+            out[part] = np.where(s > 0.7, s + 0.1 * p * (1 - s), s) if winkler else s
+            i += step
+        return pd.Series(out).astype("Float64").mask(np.isnan(out))
 
     return F.pandas_udf(run, T.DoubleType())
 
 
 #: Similarity of two labels, with and without the bonus for a common beginning; null if either is null.
-jaro_winkler, jaro_similarity = _similarity(jaro_winkler_of), _similarity(jaro)
+jaro_winkler, jaro_similarity = _similarity(True), _similarity(False)
 
 
 def simhash_of(text: str) -> int:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from garimpo.functions.text import fold_latin
 from garimpo.operators.ranking import index_terms, knn_blocks, rrf, top_k
+from garimpo.runtime import checkpoint, spread
 
 #: Distinct words of a stated query set that are broadcast in one call.
 MAX_WORDS = 50_000
@@ -24,24 +26,40 @@ def substring_words(q: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.trim(F.coalesce(q, F.lit("")))), r"\s+"), lambda w: F.length(w) >= 3))
 
 
-def _counts(words: list[str]):  # noqa: ANN202
-    own = [any(w.startswith(w[i:]) for i in range(1, len(w))) for w in words]
+def _places(token: str, w: str) -> int:
+    n, at = 0, -1
+    while (at := token.find(w, at + 1)) >= 0:
+        n += 1
+    return n
+
 
-    def overlapping(text: str | None, w: str) -> int:
-        n, at = 0, -1
-        while text is not None and (at := text.find(w, at + 1)) >= 0:
-            n += 1
-        return n
+def _counts(words: list[str]):  # noqa: ANN202
+    """Per text and word how often the word stands in it. A word holds no blank, so it lies within one token of the text; each different token of
+    a batch is looked at once for every word, and the texts that hold it are found by its number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            low = pc.utf8_lower(b.column(1))
-            for i, w in enumerate(words):
-                # a word that can overlap itself is counted at every place, as an index of its trigrams would
-                n = pa.array([overlapping(t, w) for t in low.to_pylist()], pa.int32()) if own[i] else pc.count_substring(low, w)
-                hit = pc.fill_null(pc.greater(n, 0), False)
-                if (found := pc.sum(hit).as_py()):
-                    yield pa.RecordBatch.from_arrays([b.column(0).filter(hit), pa.array([w] * found, pa.string()), n.filter(hit).cast(pa.int32()), b.column(2).filter(hit)], ["doc", "term", "tf", "len"])
+            lists = pc.ascii_split_whitespace(pc.fill_null(pc.utf8_lower(b.column(1)), ""))
+            tokens = pc.dictionary_encode(lists.flatten())
+            vocabulary, ids = tokens.dictionary, tokens.indices.to_numpy()
+            rows = np.repeat(np.arange(len(b)), np.diff(lists.offsets.to_numpy()))
+            # one entry a (token, text) with its count, sorted by token
+            pair, times = np.unique(ids.astype(np.int64) * len(b) + rows, return_counts=True)
+            of, text = pair // max(1, len(b)), pair % max(1, len(b))
+            start = np.searchsorted(of, np.arange(len(vocabulary) + 1))
+            for w in words:
+                held = np.flatnonzero(pc.match_substring(vocabulary, w).to_numpy(zero_copy_only=False))
+                if not len(held):
+                    continue
+                # places may overlap, as in an index of trigrams
+                inside = [_places(vocabulary[int(t)].as_py(), w) for t in held]
+                n = np.zeros(len(b), np.int64)
+                for t, k in zip(held, inside):
+                    z = slice(start[t], start[t + 1])
+                    n[text[z]] += times[z] * k
+                hit = np.flatnonzero(n)
+                at = pa.array(hit)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array([w] * len(hit), pa.string()), pa.array(n[hit], pa.int32()), b.column(2).take(at)], ["doc", "term", "tf", "len"])
 
     return run
 
@@ -61,7 +79,8 @@ def substring_bm25(queries: DataFrame, docs: DataFrame, key: str, text: str, top
     d = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("texto"), size.alias("len"), (F.lit(True) if allowed is None else F.coalesce(allowed, F.lit(False))).alias("ok"))
     stats = d.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))  # one row
     kind = d.schema["doc"].dataType.simpleString()
-    tf = d.select("doc", "texto", "len").mapInArrow(_counts(words), f"doc {kind}, term string, tf int, len double")
+    tf = spread(d.select("doc", "texto", "len")).mapInArrow(_counts(words), f"doc {kind}, term string, tf int, len double")
+    tf = checkpoint(tf)
     df = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats))
     idf = df.select("term", F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR)).alias("idf"), "avg_len")
     part = tf.join(idf, "term").select("term", "doc", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))).alias("s"))

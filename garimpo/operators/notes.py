@@ -177,8 +177,8 @@ def sections(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, parte, titulo, corpo)``: a text cut before its headings of the first two levels; what comes first has no title."""
     parts = F.split(F.col(text), r"(?md)(?=^#{1,2}[ \t]+\S)")
     e = df.where(F.col(text).isNotNull()).select(key, F.posexplode(F.filter(parts, lambda x: F.trim(x, F.lit(" \t\r\n")) != "")).alias("parte", "p"))
-    title = F.regexp_extract("p", r"\A#{1,2}[ \t]+([^\n]*)", 1)
-    return e.select(key, "parte", F.nullif(F.trim(title), F.lit("")).alias("titulo"), F.btrim(F.regexp_replace("p", r"\A#{1,2}[ \t]+[^\n]*", ""), F.lit(" \t\r\n")).alias("corpo"))
+    title = F.regexp_extract("p", r"\A#{1,2}[ \t]+(\S[^\n]*)", 1)
+    return e.select(key, "parte", F.nullif(F.trim(title), F.lit("")).alias("titulo"), F.btrim(F.regexp_replace("p", r"\A#{1,2}[ \t]+\S[^\n]*", ""), F.lit(" \t\r\n")).alias("corpo"))
 
 
 def vault_health(docs: DataFrame, links: DataFrame) -> DataFrame:

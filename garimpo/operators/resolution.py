@@ -6,6 +6,7 @@ import hashlib
 import math
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from garimpo.operators.components import components
-from garimpo.operators.entities import char_shingles, entropy, jaro_winkler, normal_label
+from garimpo.operators.entities import char_shingles, entropy, jaro_batch, normal_label
 from garimpo.runtime import checkpoint
 
 #: The hash family that signatures must share to be comparable with stored ones: 128 permutations, coefficients drawn from
@@ -66,8 +67,8 @@ def _exact_keys(threshold: float):  # noqa: ANN202
     """Keys of which two labels share one if their Jaro-Winkler similarity reaches the threshold.
 
     With p letters in common at the beginning, a similarity of t needs m common characters with m/|a| + m/|b| >= 3 (t - p/10) / (1 - p/10) - 1.
-    Two labels with that many share one of the first |a| - m + 1 and |b| - m + 1 of their characters in a common order, rarest first.
-    A key names p and these letters, both lengths and the character.
+    Two labels with that many share two of the first |a| - m + 2 and |b| - m + 2 of their characters in a common order, rarest first.
+    A key names p and these letters, both lengths and two characters; one character where one common one is enough.
     """
     rank = {c: i for i, c in enumerate(RARE)}
     need = {p: 3 * (threshold - p / 10) / (1 - p / 10) - 1 for p in range(5)}
@@ -87,8 +88,9 @@ def _exact_keys(threshold: float):  # noqa: ANN202
                         x = need[p]
                         for m in range(max(1, math.ceil(n * (x - 1) - 1e-9)), math.floor(n / (x - 1) + 1e-9) + 1):
                             common = math.ceil(x * n * m / (n + m) - 1e-9)
-                            for t in tokens[: n - common + 1]:
-                                own.add((p, label[:p], min(n, m), max(n, m), t[0], t[2]))
+                            share = min(2, common)
+                            for ts in combinations(tokens[: n - common + share], share):
+                                own.add((p, label[:p], min(n, m), max(n, m), *((t[0], t[2]) for t in ts)))
                     for k in own:
                         labels.append(label)
                         keys.append(hashlib.blake2b(repr(k).encode("utf-8", "surrogatepass"), digest_size=8).digest())
@@ -110,7 +112,9 @@ def label_pairs(labels: DataFrame, column: str, threshold: float = 0.92, least_b
     is the engine's own rule and finds pairs of similar trigrams only; labels of a band over ``HOT`` labels are compared by the
     exact keys instead, so no band is expanded whole. With ``exact`` no pair of the threshold is lost.
     """
-    n = checkpoint(labels.select(normal_label(F.col(column)).alias("rotulo")).where("rotulo <> ''").distinct().where(entropy(F.col("rotulo")) >= least_bits))
+    # cut here, or the test of each label would be made for each row
+    n = checkpoint(labels.select(normal_label(F.col(column)).alias("rotulo")).where("rotulo <> ''").distinct())
+    n = checkpoint(n.where(entropy(F.col("rotulo")) >= least_bits))
     keys = lambda d: d.select("rotulo").mapInArrow(_exact_keys(threshold), "rotulo string, banda bigint")
     if exact:
         return _met(checkpoint(keys(n)))
@@ -123,7 +127,26 @@ def label_pairs(labels: DataFrame, column: str, threshold: float = 0.92, least_b
 
 def similar_labels(labels: DataFrame, column: str, threshold: float = 0.92, least_bits: float = 2.5, exact: bool = False) -> DataFrame:
     """``(a, b, sim)``: the pairs of ``label_pairs`` at least as similar as the threshold."""
-    return label_pairs(labels, column, threshold, least_bits, exact).withColumn("sim", jaro_winkler("a", "b")).where(F.col("sim") >= threshold)
+    return scored_pairs(label_pairs(labels, column, threshold, least_bits, exact), threshold).select("a", "b", F.col("jw").alias("sim"))
+
+
+def scored_pairs(pairs: DataFrame, least: float, either: bool = False) -> DataFrame:
+    """``(a, b, jw, j)``: Jaro-Winkler and Jaro similarity of different pairs; those of at least ``least`` by Jaro-Winkler, or by ``either``.
+
+    Comparing takes longer than reading, so pairs are made different first and go to all cores whatever their size in bytes.
+    """
+    cores = pairs.sparkSession.sparkContext.defaultParallelism
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 4096):
+                b = whole.slice(at, 4096)
+                j, p = jaro_batch(b.column(0).to_pylist(), b.column(1).to_pylist())
+                w = np.where(j > 0.7, j + 0.1 * p * (1 - j), j)
+                keep = pa.array((np.maximum(w, j) if either else w) >= least)
+                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (*b.columns, pa.array(w), pa.array(j))], ["a", "b", "jw", "j"])
+
+    return checkpoint(pairs.select("a", "b")).repartition(2 * cores, "a").mapInArrow(run, "a string, b string, jw double, j double")
 
 
 def resolve(nodes: DataFrame, key: str, label: str, threshold: float = 0.92, exact: bool = False) -> DataFrame:

@@ -54,6 +54,12 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if a small table came in fewer partitions and its rows take long; large tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the session's workers this package, once, so that they need not have it installed or start in its folder."""
     sc = spark.sparkContext
