@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from garimpo.functions.text import casefolded, fold_latin
 from garimpo.operators.graph import IMPACT, degrees
-from garimpo.operators.ranking import top_k
+from garimpo.operators.ranking import global_rank, top_k
 from garimpo.runtime import checkpoint
 
 #: Labels that many programs share.
@@ -262,11 +262,11 @@ def bridges_of_communities(edges: DataFrame, members: DataFrame) -> DataFrame:
 def numbered_communities(members: DataFrame) -> DataFrame:
     """``(id, community)`` renumbered from 0: the largest first, of equal size the one with the smallest member.
 
-    Communities do not overlap, so their smallest members order them as their sorted lists would; only one row a community is sorted whole.
+    Communities do not overlap, so their smallest members order them as their sorted lists would; one row a community is ranked.
     """
     g = members.groupBy("community").agg(F.count("*").alias("n"), F.min(F.col("id").cast("string")).alias("m"))
-    numbered = g.withColumn("novo", F.row_number().over(Window.orderBy(F.desc("n"), "m")) - 1)
-    return members.join(numbered.select("community", "novo"), "community").select("id", F.col("novo").alias("community"))
+    numbered = global_rank(g, [F.desc("n"), F.asc("m")], "novo")
+    return members.join(numbered.select("community", "novo"), "community").select("id", (F.col("novo") - 1).alias("community"))
 
 
 def reattached(edges: DataFrame, members: DataFrame, hubs: DataFrame) -> DataFrame:
@@ -277,7 +277,7 @@ def reattached(edges: DataFrame, members: DataFrame, hubs: DataFrame) -> DataFra
     return hubs.select("id").join(best, "id", "left")
 
 
-def remap_to_previous(members: DataFrame, before: DataFrame, most: int = 1_000_000) -> DataFrame:
+def remap_to_previous(members: DataFrame, before: DataFrame) -> DataFrame:
     """``(community, final)``: numbers of new communities after the old ones they overlap most, one to one and greedily; others get the smallest free numbers.
 
     Overlaps are counted by Spark; the greedy choice runs in rounds, each taking every pair that is best for both its sides, which is what the
@@ -293,12 +293,11 @@ def remap_to_previous(members: DataFrame, before: DataFrame, most: int = 1_000_0
         taken = checkpoint(taken.unionByName(both))
         o = checkpoint(o.join(both.select("community"), "community", "left_anti").join(both.select("old"), "old", "left_anti"))
     rest = members.groupBy("community").agg(F.count("*").alias("n"), F.min(F.col("id").cast("string")).alias("m")).join(taken.select("community"), "community", "left_anti")
-    rest = rest.withColumn("k", F.row_number().over(Window.orderBy(F.desc("n"), "m")) - 1)
-    # the k-th free number: numbers that old communities hold are few, one row each
-    free = taken.select(F.col("old").cast("long").alias("old")).where("old >= 0").withColumn("i", F.row_number().over(Window.orderBy("old")) - 1).withColumn("first", F.col("old") - F.col("i"))
-    steps = free.groupBy("first").agg(F.max("i").alias("i"))
-    skipped = rest.join(steps, F.col("first") <= F.col("k"), "left").groupBy("community", "k").agg(F.coalesce(F.max("i") + 1, F.lit(0)).alias("s"))
-    return taken.select("community", F.col("old").cast("long").alias("final")).unionByName(skipped.select("community", (F.col("k") + F.col("s")).cast("long").alias("final")))
+    rest = global_rank(rest, [F.desc("n"), F.asc("m")], "k")
+    # the k-th free number: every number up to that of all communities that no old one holds
+    free = members.sparkSession.range(members.select("community").distinct().count() + 1).toDF("final").join(taken.select(F.col("old").cast("long").alias("final")), "final", "left_anti")
+    given = rest.join(global_rank(free, [F.asc("final")], "k"), "k")
+    return taken.select("community", F.col("old").cast("long").alias("final")).unionByName(given.select("community", "final"))
 
 
 def community_labels(nodes: DataFrame, edges: DataFrame, members: DataFrame) -> DataFrame:

@@ -8,11 +8,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from garimpo.functions.text import fold_latin
-from garimpo.operators.ranking import index_terms, knn_blocks, rrf, top_k
+from garimpo.operators.ranking import global_rank, index_terms, knn_blocks, rrf, top_k
 from garimpo.runtime import checkpoint, spread
 
 #: Distinct words of a stated query set that are broadcast in one call.
@@ -292,7 +292,7 @@ def facts_by_terms(facts: DataFrame, asks: DataFrame, limit: int = 3) -> DataFra
 def votes_report(votes: DataFrame) -> DataFrame:
     """``(caminho, uteis, nao, saldo, pior)`` of votes ``(qid, caminho, util)``; ``pior`` is the place among paths with more votes against than for."""
     g = votes.groupBy("caminho").agg(F.count_if(F.col("util")).alias("uteis"), F.count_if(~F.col("util")).alias("nao")).withColumn("saldo", F.col("uteis") - F.col("nao"))
-    worst = g.where("saldo < 0").select("caminho", F.row_number().over(Window.orderBy("saldo", "caminho")).alias("pior"))
+    worst = global_rank(g.where("saldo < 0").select("caminho", "saldo"), [F.asc("saldo"), F.asc("caminho")], "pior").select("caminho", "pior")
     return g.join(worst, "caminho", "left")
 
 

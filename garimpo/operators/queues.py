@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from garimpo.operators.ranking import global_rank
+from garimpo.runtime import checkpoint
+
 #: Named schedules, and the years a next time is looked for in.
 SHORT = {"@hourly": "0 * * * *", "@daily": "0 0 * * *", "@weekly": "0 0 * * 0", "@monthly": "0 0 1 * *", "@yearly": "0 0 1 1 *"}
 YEARS = 5
@@ -84,7 +87,7 @@ def schedule_step(tasks: DataFrame, state: DataFrame, now: str) -> DataFrame:
 
 def claim_order(tasks: DataFrame) -> DataFrame:
     """Queued tasks ``(id, prioridade, criada, estado)`` with ``vez``: greatest priority first, then the oldest, then the id."""
-    return tasks.where("estado = 'queued'").withColumn("vez", F.row_number().over(Window.orderBy(F.desc_nulls_last("prioridade"), "criada", "id")))
+    return global_rank(tasks.where("estado = 'queued'"), [F.desc_nulls_last("prioridade"), F.asc("criada"), F.asc("id")], "vez")
 
 
 def next_runnable(tasks: DataFrame, by: str, now: float) -> DataFrame:
@@ -98,7 +101,7 @@ def open_questions(q: DataFrame, ranks: dict[str, int]) -> DataFrame:
     level = F.lit(len(ranks))
     for k, v in ranks.items():
         level = F.when(F.lower("gravidade") == k, v).otherwise(level)
-    return q.where("estado = 'aberta'").withColumn("vez", F.row_number().over(Window.orderBy(level, "criada", "id")))
+    return global_rank(q.where("estado = 'aberta'").withColumn("__l", level), [F.asc("__l"), F.asc("criada"), F.asc("id")], "vez").drop("__l")
 
 
 def locked(asks: DataFrame, most: int = 4, ttl: float = 300.0) -> DataFrame:
@@ -216,8 +219,6 @@ def guarded_edits(notes: DataFrame, edits: DataFrame) -> DataFrame:
     The first that fits a note's text is aplicada and changes the mark; others are velha, or sem nota. Of edits in a chain each may fit the one before, so
     the chain is followed along equal marks, a round a link.
     """
-    from garimpo.runtime import checkpoint
-
     e = checkpoint(edits.select("caminho", "pos", "base", F.sha2("novo", 256).alias("nova")))
     state = checkpoint(notes.select("caminho", F.sha2("texto", 256).alias("marca"), F.lit(-1).cast("long").alias("ate")))
     known = state.select("caminho")
@@ -240,8 +241,6 @@ def distinct_in_order(c: Column) -> Column:
 
 def following_versions(versions: DataFrame, renames: DataFrame, most: int = 64) -> DataFrame:
     """``versions`` with ``caminho`` as the note is called now; renames ``(de, para)`` may follow each other, circles raise."""
-    from garimpo.runtime import checkpoint
-
     v = versions.withColumn("__now", F.col("caminho"))
     r = checkpoint(renames.select("de", "para").where("de <> para").groupBy("de").agg(F.max("para").alias("para")))
     for _ in range(most):

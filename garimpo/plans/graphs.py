@@ -66,7 +66,7 @@ def g13_community_bridges(spark: SparkSession, d: str) -> DataFrame:
     return C.bridges_of_communities(edges_of(spark), members_of(spark))
 
 
-@query(rows("id community", ("fusao", 0), ("rrf", 0), ("busca", 0), ("porque", 0), ("arq_indice", 1), ("gravar", 1), ("ler", 1), ("solto", 2), ("t_busca", 3)))
+@query(rows("id community:BIGINT", ("fusao", 0), ("rrf", 0), ("busca", 0), ("porque", 0), ("arq_indice", 1), ("gravar", 1), ("ler", 1), ("solto", 2), ("t_busca", 3)))
 def g08_numbered(spark: SparkSession, d: str) -> DataFrame:
     return C.numbered_communities(members_of(spark))
 

@@ -36,7 +36,7 @@ def x03_due_tasks(spark: SparkSession, d: str) -> DataFrame:
     return Q.schedule_step(t, s, "2025-03-01 10:30:00").select("nome", "devida", "ancora")
 
 
-@query("SELECT o_orderkey AS id, CAST(row_number() OVER (ORDER BY o_orderpriority DESC, o_orderdate, o_orderkey) AS INT) AS vez FROM orders WHERE o_orderstatus = 'O'")
+@query("SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderpriority DESC, o_orderdate, o_orderkey) AS vez FROM orders WHERE o_orderstatus = 'O'")
 def k07_claim_order(spark: SparkSession, d: str) -> DataFrame:
     """Open orders as a queue: priority, then age."""
     o = load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("prioridade"), F.col("o_orderdate").alias("criada"), F.when(F.col("o_orderstatus") == "O", "queued").otherwise("done").alias("estado"))
@@ -50,7 +50,7 @@ def k08_next_runnable(spark: SparkSession, d: str) -> DataFrame:
     return Q.next_runnable(spark.createDataFrame(t, "id int, fila string, estado string, criada double, depois double"), "fila", 10.0)
 
 
-@query(rows("id vez", (3, 1), (2, 2), (1, 3), (5, 4)))
+@query(rows("id vez:BIGINT", (3, 1), (2, 2), (1, 3), (5, 4)))
 def k09_questions(spark: SparkSession, d: str) -> DataFrame:
     t = [(1, "aberta", "baixa", 1.0), (2, "aberta", "Alta", 5.0), (3, "aberta", "alta", 2.0), (4, "fechada", "alta", 0.0), (5, "aberta", "outra", 0.0)]
     return Q.open_questions(spark.createDataFrame(t, "id int, estado string, gravidade string, criada double"), {"alta": 0, "media": 1, "baixa": 2}).select("id", "vez")

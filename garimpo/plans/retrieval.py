@@ -195,7 +195,7 @@ def votes_of(spark: SparkSession, d: str) -> DataFrame:
     return v.select(F.col("consulta").alias("qid"), "caminho", F.coalesce("o", F.lit(False)).alias("util"))
 
 
-@query(f"WITH {_VOTES}, g AS (SELECT caminho, count(*) FILTER (util) AS uteis, count(*) FILTER (NOT util) AS nao FROM v GROUP BY caminho) SELECT caminho, uteis, nao, uteis - nao AS saldo, CAST(CASE WHEN uteis < nao THEN row_number() OVER (PARTITION BY uteis < nao ORDER BY uteis - nao, caminho) END AS INT) AS pior FROM g")
+@query(f"WITH {_VOTES}, g AS (SELECT caminho, count(*) FILTER (util) AS uteis, count(*) FILTER (NOT util) AS nao FROM v GROUP BY caminho) SELECT caminho, uteis, nao, uteis - nao AS saldo, CASE WHEN uteis < nao THEN row_number() OVER (PARTITION BY uteis < nao ORDER BY uteis - nao, caminho) END AS pior FROM g")
 def a15_feedback(spark: SparkSession, d: str) -> DataFrame:
     return H.votes_report(votes_of(spark, d))
 
