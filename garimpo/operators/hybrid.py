@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from garimpo.functions.text import fold_latin
 from garimpo.operators.ranking import global_rank, index_terms, knn_blocks, rrf, top_k
-from garimpo.runtime import checkpoint, spread
+from garimpo.runtime import spread
 
 #: Distinct words of a stated query set that are broadcast in one call.
 MAX_WORDS = 50_000
@@ -21,6 +21,13 @@ MAX_WORDS = 50_000
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
 
+def _places(token: str, w: str) -> int:
+    n, at = 0, -1
+    while (at := token.find(w, at + 1)) >= 0:
+        n += 1
+    return n
+
+
 def substring_words(q: Column) -> Column:
     """Blank-separated words of three characters or more, lower case, in order."""
     return F.array_distinct(F.filter(F.split(F.lower(F.trim(F.coalesce(q, F.lit("")))), r"\s+"), lambda w: F.length(w) >= 3))
@@ -33,62 +40,111 @@ def _places(token: str, w: str) -> int:
     return n
 
 
-def _counts(words: list[str]):  # noqa: ANN202
-    """Per text and word how often the word stands in it. A word holds no blank, so it lies within one token of the text; each different token of
-    a batch is looked at once for every word, and the texts that hold it are found by its number."""
+class _Batch:
+    """Texts of a batch by their different tokens: a word holds no blank, so it lies within tokens, and each token is looked at once for every word."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        lists = pc.ascii_split_whitespace(pc.fill_null(pc.utf8_lower(texts), ""))
+        tokens = pc.dictionary_encode(lists.flatten())
+        self.vocabulary, self.n = tokens.dictionary, len(texts)
+        rows = np.repeat(np.arange(self.n), np.diff(lists.offsets.to_numpy()))
+        # one entry a (token, text) with its count, sorted by token
+        pair, self.times = np.unique(tokens.indices.to_numpy().astype(np.int64) * self.n + rows, return_counts=True)
+        of, self.text = pair // max(1, self.n), pair % max(1, self.n)
+        self.start = np.searchsorted(of, np.arange(len(self.vocabulary) + 1))
+
+    def places(self, w: str) -> tuple[np.ndarray, np.ndarray]:
+        """Texts that hold the word, and how often; places may overlap, as in an index of trigrams."""
+        n = np.zeros(self.n, np.int64)
+        for t in np.flatnonzero(pc.match_substring(self.vocabulary, w).to_numpy(zero_copy_only=False)):
+            z = slice(self.start[t], self.start[t + 1])
+            n[self.text[z]] += self.times[z] * _places(self.vocabulary[int(t)].as_py(), w)
+        hit = np.flatnonzero(n)
+        return hit, n[hit]
+
+
+def _frequencies(words: list[str]):  # noqa: ANN202
+    """Per task: in how many texts each word stands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(len(words), np.int64)
+        for b in batches:
+            own = _Batch(b.column(0))
+            for i, w in enumerate(words):
+                df[i] += len(own.places(w)[0])
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["w", "df"])
+
+    return run
+
+
+def _best(shared, top: int):  # noqa: ANN001, ANN202
+    """Per task: the ``top`` texts of every query; columns: key, text, length, allowed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, idf, average, asks = shared.value
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        kind = pa.int64()
         for b in batches:
-            lists = pc.ascii_split_whitespace(pc.fill_null(pc.utf8_lower(b.column(1)), ""))
-            tokens = pc.dictionary_encode(lists.flatten())
-            vocabulary, ids = tokens.dictionary, tokens.indices.to_numpy()
-            rows = np.repeat(np.arange(len(b)), np.diff(lists.offsets.to_numpy()))
-            # one entry a (token, text) with its count, sorted by token
-            pair, times = np.unique(ids.astype(np.int64) * len(b) + rows, return_counts=True)
-            of, text = pair // max(1, len(b)), pair % max(1, len(b))
-            start = np.searchsorted(of, np.arange(len(vocabulary) + 1))
-            for w in words:
-                held = np.flatnonzero(pc.match_substring(vocabulary, w).to_numpy(zero_copy_only=False))
-                if not len(held):
-                    continue
-                # places may overlap, as in an index of trigrams
-                inside = [_places(vocabulary[int(t)].as_py(), w) for t in held]
-                n = np.zeros(len(b), np.int64)
-                for t, k in zip(held, inside):
-                    z = slice(start[t], start[t + 1])
-                    n[text[z]] += times[z] * k
-                hit = np.flatnonzero(n)
-                at = pa.array(hit)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array([w] * len(hit), pa.string()), pa.array(n[hit], pa.int32()), b.column(2).take(at)], ["doc", "term", "tf", "len"])
+            kind = b.schema.types[0]
+            own, keys = _Batch(b.column(1)), b.column(0).to_numpy(zero_copy_only=False)
+            size, ok = b.column(2).to_numpy(), b.column(3).to_numpy(zero_copy_only=False)
+            found = []
+            for w, x in zip(words, idf):
+                hit, tf = own.places(w) if x else (np.empty(0, np.int64), np.empty(0))
+                found.append((hit, x * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[hit] / average))))
+            for q, (_, ws) in enumerate(asks):
+                s, seen = np.zeros(own.n), np.zeros(own.n, bool)
+                for w in ws:
+                    hit, part = found[w]
+                    s[hit] += part
+                    seen[hit] = True
+                at = np.flatnonzero(seen & ok)
+                if len(at):
+                    v, k = np.round(s[at], 6), keys[at]
+                    if q in best:
+                        v, k = np.concatenate([best[q][0], v]), np.concatenate([best[q][1], k])
+                    order = np.lexsort((k, -v))[:top]
+                    best[q] = v[order], k[order]
+        for q, (v, k) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), q, np.int32)), pa.array(k, kind), pa.array(v)], ["q", "doc", "score"])
 
     return run
 
 
-def substring_bm25(queries: DataFrame, docs: DataFrame, key: str, text: str, top: int | None, allowed: Column | None = None) -> DataFrame:
+def substring_bm25(queries: DataFrame, docs: DataFrame, key: str, text: str, top: int, allowed: Column | None = None) -> DataFrame:
     """``(qid, doc, score, posicao)`` of queries ``(qid, texto)``: any word of three characters or more, found anywhere in the text, case apart.
 
     Scores as a trigram index gives them: tf is the number of places, length the number of trigrams, statistics are over all texts of
     ``docs``; only documents that satisfy ``allowed`` come out, and no candidate is cut before that filter. Ties go to the smaller key.
-    The words of the stated query set are broadcast, at most ``MAX_WORDS`` (checked); texts are scanned once, in C, where they lie.
+    The stated query set is broadcast, at most ``MAX_WORDS`` different words (checked). Texts are read twice where they lie, for the words'
+    frequencies and for scores; every task keeps ``top`` texts a query, so only tasks x queries x top rows are shuffled. Keys are
+    numbers or texts, without nulls.
     """
-    q = queries.select("qid", F.explode(substring_words(F.col("texto"))).alias("term"))
-    words = [r["term"] for r in q.select("term").distinct().orderBy("term").limit(MAX_WORDS + 1).collect()]
+    q = queries.select("qid", substring_words(F.col("texto")).alias("ws")).where(F.size("ws") > 0)
+    words = [r["term"] for r in q.select(F.explode("ws").alias("term")).distinct().orderBy("term").limit(MAX_WORDS + 1).collect()]
     if len(words) > MAX_WORDS:
         raise ValueError(f"more than {MAX_WORDS} words: run the queries in several calls")
+    # no more queries than words allow: each query is its words, and equal ones are answered once
+    number = {w: i for i, w in enumerate(words)}
+    same = q.groupBy("ws").agg(F.count("*").alias("n"))
+    asks = [(i, [number[w] for w in r["ws"]]) for i, r in enumerate(same.orderBy("ws").limit(MAX_WORDS + 1).collect())]
+    if len(asks) > MAX_WORDS:
+        raise ValueError(f"more than {MAX_WORDS} queries: run them in several calls")
     size = F.greatest(F.length(text) - 2, F.lit(0)).cast("double")
-    d = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("texto"), size.alias("len"), (F.lit(True) if allowed is None else F.coalesce(allowed, F.lit(False))).alias("ok"))
-    stats = d.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))  # one row
+    d = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("texto"), size.alias("len"), (F.lit(True) if allowed is None else F.coalesce(allowed, F.lit(False))).alias("ok"))
+    d = spread(d)
+    stats = d.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
+    df = {r["w"]: r["df"] for r in d.select("texto").mapInArrow(_frequencies(words), "w bigint, df bigint").groupBy("w").agg(F.sum("df").alias("df")).collect()}
+    idf = [max(math.log((stats["n"] - df[i] + 0.5) / (df[i] + 0.5)), IDF_FLOOR) if i in df else 0.0 for i in range(len(words))]
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((words, idf, stats["avg"] or 1.0, asks))
     kind = d.schema["doc"].dataType.simpleString()
-    tf = spread(d.select("doc", "texto", "len")).mapInArrow(_counts(words), f"doc {kind}, term string, tf int, len double")
-    tf = checkpoint(tf)
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats))
-    idf = df.select("term", F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR)).alias("idf"), "avg_len")
-    part = tf.join(idf, "term").select("term", "doc", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))).alias("s"))
-    if allowed is not None:
-        part = part.join(d.where("ok").select("doc"), "doc", "left_semi")
-    score = q.join(part, "term").groupBy("qid", "doc").agg(F.round(F.sum("s"), 6).alias("score"))
-    ranked = top_k(score, ["qid"], [F.desc("score"), F.asc("doc")], top if top is not None else 2**31 - 1)
-    return ranked
+    found = d.mapInArrow(_best(shared, top), f"q int, doc {kind}, score double")
+    ranked = top_k(found, ["q"], [F.desc("score"), F.asc("doc")], top)
+    numbered = spark.createDataFrame([(i, [words[w] for w in ws]) for i, ws in asks], "q int, ws array<string>")
+    named = q.join(F.broadcast(numbered), "ws").select("qid", "q")
+    return named.join(ranked, "q").select("qid", "doc", "score", "posicao")
 
 
 def vector_lists(queries: DataFrame, docs: DataFrame, key: str, vec: str, top: int, allowed: Column | None = None) -> DataFrame:

@@ -56,7 +56,7 @@ def s13_kept_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(rows("path secreto", ("a/.env", True), ("a/.env.local", True), ("k/id_rsa", True), ("k/id_rsa.pub", True), ("x/server.pem", True), ("x/credentials.json", True), ("x/secrets.yaml", True), ("x/secretary.md", False), ("x/environment.py", False)))
-def p19_sensitive(spark: SparkSession, d: str) -> DataFrame:
+def f19_sensitive(spark: SparkSession, d: str) -> DataFrame:
     p = ["a/.env", "a/.env.local", "k/id_rsa", "k/id_rsa.pub", "x/server.pem", "x/credentials.json", "x/secrets.yaml", "x/secretary.md", "x/environment.py"]
     return spark.createDataFrame([(x,) for x in p], "path string").select("path", X.is_sensitive(F.col("path")).alias("secreto"))
 

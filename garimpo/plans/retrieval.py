@@ -58,7 +58,7 @@ def r02_hybrid(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"WITH {_LEX(_EXT, 30)}, {_VET(_EXT, 30)}, {_RRF} SELECT qid, doc, score, CAST(posicao AS INT) AS posicao FROM f WHERE posicao <= 10")
-def p09_faceted_hybrid(spark: SparkSession, d: str) -> DataFrame:
+def r02_faceted_hybrid(spark: SparkSession, d: str) -> DataFrame:
     """The same with the filter inside both searches."""
     return H.hybrid(_asks(spark, d), load(spark, d, "chunks"), "rid", "doc", "vec", allowed=_external())
 
@@ -214,6 +214,6 @@ _RECORDS = [(1, "acme", "ana", False), (2, "acme", "bia", False), (3, "acme", "b
 
 
 @query(rows("id visivel", (1, True), (2, False), (3, True), (4, True), (5, False), (6, False)))
-def p18_visible(spark: SparkSession, d: str) -> DataFrame:
+def f18_visible(spark: SparkSession, d: str) -> DataFrame:
     r = spark.createDataFrame(_RECORDS, "id int, empresa string, agente string, comum boolean")
     return r.select("id", H.visible(F.lit("acme"), F.lit("ana"), F.col("empresa"), F.col("agente"), F.col("comum")).alias("visivel"))

@@ -69,7 +69,7 @@ def t44_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("WITH s AS (SELECT id, lower(coalesce(regexp_extract(rel_path, '[^/]*$'), '')) AS n, substring(coalesce(content, ''), 1, 500) AS h FROM skills) SELECT id, starts_with(n, 'session') OR contains(n, 'session-') OR contains(n, 'session_') OR regexp_matches(h, '(?im)^tags:.*\\bsession\\b') OR contains(lower(h), 'session synopsis') OR contains(lower(h), 'session summary') OR contains(lower(h), 'session transcript') AS sessao FROM s")
-def p15_sessions(spark: SparkSession, d: str) -> DataFrame:
+def f15_sessions(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "skills").select("id", C.looks_like_session(F.element_at(F.split("rel_path", "/"), -1), F.col("content")).alias("sessao"))
 
 
