@@ -384,3 +384,54 @@ def with_sidecars(files: DataFrame, ending: str = ".meta.yaml") -> DataFrame:
     own = files.where(~F.col("caminho").endswith(ending)).withColumn("base", F.col("caminho"))
     return own.join(meta, "base", "left").drop("base")
 
+
+
+# heads of notes
+
+def front_list(c: Column, key: str) -> Column:
+    """A list in the head of a note, written ``[a, "b"]``, as lines ``- a`` or as one value; quotes off, empty if there is none."""
+    head = F.regexp_extract(F.coalesce(c, F.lit("")), r"(?s)\A---\r?\n(.*?)\r?\n---", 1)
+    flow = F.regexp_extract(head, rf"(?m)^{key}:[ \t]*\[(.*)\][ \t]*$", 1)
+    block = F.regexp_extract(head, rf"(?m)^{key}:[ \t]*\r?\n((?:[ \t]*-[ \t]+.*(?:\r?\n|\z))+)", 1)
+    one = F.regexp_extract(head, rf"(?m)^{key}:[ \t]*([^\[\s].*)$", 1)
+    items = F.when(flow != "", F.regexp_extract_all(flow, F.lit(r"""\s*("(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|[^,]+?)\s*(?:,|$)"""), 1)).when(block != "", F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]*-[ \t]+(.*?)[ \t\r]*$"), 1)).when(one != "", F.array(one)).otherwise(F.array().cast("array<string>"))
+    return F.filter(F.transform(items, unquoted), lambda x: x != "")
+
+
+def unquoted(c: Column) -> Column:
+    """A scalar without the quotes around it: ``\\"`` and ``\\\\`` read in double ones, ``''`` in single ones."""
+    t = F.btrim(c, F.lit(" \t\r"))
+    inner = F.substring(t, F.lit(2), F.length(t) - 2)
+    return F.when(t.rlike(r'^".*"$') & (F.length(t) > 1), F.regexp_replace(inner, r"\\(.)", "$1")).when(t.rlike(r"^'.*'$") & (F.length(t) > 1), F.replace(inner, F.lit("''"), F.lit("'"))).otherwise(t)
+
+
+def quoted_scalar(c: Column) -> Column:
+    """A scalar as it can stand in a head: in double quotes if it would read as something else."""
+    plain = c.rlike(r"^[\p{L}\p{N}_./][\p{L}\p{N}_./ +()-]*$") & ~F.lower(c).isin("true", "false", "null", "yes", "no", "on", "off", "~") & ~c.rlike(r"^[-+]?[0-9.]+$") & (c == F.btrim(c))
+    return F.when(plain, c).otherwise(F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')))
+
+
+def repaired_head(c: Column) -> Column:
+    """A note whose head's values that hold ``: `` or begin with a sign are put in quotes, items of flow lists too; lines that need none stay."""
+    head = F.regexp_extract(c, r"(?s)\A---\r?\n(.*?)\r?\n---", 1)
+
+    def line(x: Column) -> Column:
+        key, value = F.regexp_extract(x, r"^([A-Za-z_][\w-]*):[ \t]+(\S.*)$", 1), F.rtrim(F.regexp_extract(x, r"^([A-Za-z_][\w-]*):[ \t]+(\S.*)$", 2))
+        bad = value.rlike(r"^[@`%&*!|>]|: |:$| #") & ~value.rlike(r"""^["'{\[]""")
+        items = F.regexp_extract_all(F.regexp_extract(value, r"^\[(.*)\]$", 1), F.lit(r"""\s*("(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|[^,]+?)\s*(?:,|$)"""), 1)
+        broken = value.rlike(r"^\[.*\]$") & F.exists(items, lambda i: i.rlike(r"^[@`%&*!|>]|: |[\[\]{}]") & ~i.rlike(r"""^["']"""))
+        mended = F.array_join(F.transform(items, lambda i: F.when(i.rlike(r"""^["']"""), i).otherwise(quoted_scalar(i))), ", ")
+        return F.when((key != "") & bad, F.concat(key, F.lit(": "), quoted_scalar(value))).when((key != "") & broken, F.concat(key, F.lit(": ["), mended, F.lit("]"))).otherwise(x)
+
+    new = F.array_join(F.transform(F.split(head, "\n"), line), "\n")
+    at = F.locate("\n", c)
+    return F.when(head == "", c).otherwise(F.concat(F.substring(c, F.lit(1), at), new, F.substring(c, at + 1 + F.length(head), F.length(c))))
+
+
+def capture_date(name: Column) -> Column:
+    """The moment a picture was taken, as its file's name tells it: ``yyyy-mm-dd`` and ``hh-mm-ss`` with any signs between; null if there is none or it is no time."""
+    p = r"(?<!\d)((?:19|20)\d{2})[-_.]?(0[1-9]|1[0-2])[-_.]?([0-2]\d|3[01])(?:[-_ T.]+(?:at |às )?([01]\d|2[0-3])[-_.:h]?([0-5]\d)[-_.:m]?([0-5]\d))?(?!\d)"
+    g = [F.regexp_extract(name, p, i) for i in range(1, 7)]
+    day = F.concat_ws("-", *g[:3])
+    time = F.when(g[3] != "", F.concat_ws(":", *g[3:])).otherwise("00:00:00")
+    return F.when(name.rlike(p), F.concat_ws(" ", day, time).try_cast("timestamp_ntz"))

@@ -242,3 +242,10 @@ def surprise(edges: DataFrame) -> Column:
     base = F.when(F.col("confidence") == "AMBIGUOUS", 3).when(F.col("confidence") == "INFERRED", 2).otherwise(1)
     base = base + F.when(F.col("type_a") != F.col("type_b"), 2).otherwise(0) + F.when(F.col("top_a") != F.col("top_b"), 2).otherwise(0) + F.when(F.col("community_a") != F.col("community_b"), 1).otherwise(0)
     return base * F.when(F.col("relation") == "semantically_similar_to", 1.5).otherwise(1.0)
+
+
+def backfilled(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``edges`` with valid weights, and with the file of their source, else of their target, where they name none."""
+    n = nodes.where("source_file IS NOT NULL AND source_file <> ''").groupBy("id").agg(F.min("source_file").alias("__f"))
+    j = repair_edges(edges).join(n.toDF("source", "__fa"), "source", "left").join(n.toDF("target", "__fb"), "target", "left")
+    return j.withColumn("source_file", F.coalesce(F.nullif("source_file", F.lit("")), "__fa", "__fb")).select(edges.columns)

@@ -9,7 +9,8 @@ from garimpo.functions.text import fold_latin
 from garimpo.operators import codegraph as C
 from garimpo.operators import dedup as D
 from garimpo.operators import graph as G
-from garimpo.operators.resolution import resolve
+from garimpo.operators.notes import latest_wins
+from garimpo.operators.resolution import remap_edges, resolve
 from garimpo.plans.registry import registry, rows
 from garimpo.runtime import load
 
@@ -222,6 +223,45 @@ def g03_subgraph(spark: SparkSession, d: str) -> DataFrame:
     return C.question_subgraph(nodes_of(spark), edges_of(spark), spark.createDataFrame([(1, "rrf fusao")], "qid int, texto string"), depth=1, seeds=2)
 
 
+_E = [("b", "a", "r", "2", None), ("a", "b", "r", "nan", ""), ("a", "c", "r", "-1", "own.py"), ("z", "a", "s", None, None), ("a", "a", "r", "Infinity", None)]
+
+
+def _weighed(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_E, "source string, target string, relation string, weight string, source_file string")
+
+
+@query(rows("source target weight:DOUBLE source_file", ("b", "a", 2.0, "b.py"), ("a", "b", 1.0, "b.py"), ("a", "c", 1.0, "own.py"), ("z", "a", 1.0, None), ("a", "a", 1.0, None)))
+def g24_backfilled(spark: SparkSession, d: str) -> DataFrame:
+    """Weights that are none become 1; files come from the source, else the target."""
+    n = spark.createDataFrame([("a", None), ("b", "b.py"), ("c", "c.py")], "id string, source_file string")
+    return G.backfilled(_weighed(spark), n).select("source", "target", "weight", "source_file")
+
+
+@query(rows("source target relation", ("a", "b", "r"), ("a", "c", "r"), ("z", "a", "s"), ("a", "a", "r")))
+def g26_collapsed(spark: SparkSession, d: str) -> DataFrame:
+    return G.collapse_undirected(_weighed(spark).select("source", "target", "relation"))
+
+
+@query(rows("source target relation", *[e[:3] for e in EDGES if e[0] != "x"]))
+def j06_pruned(spark: SparkSession, d: str) -> DataFrame:
+    return G.prune_dangling(edges_of(spark), nodes_of(spark)).select("source", "target", "relation")
+
+
+@query(rows("source target relation", ("indice", "fusao", "references"), ("busca", "indice", "calls")))
+def j11_remapped_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The functions of the index as one node: what was between them goes."""
+    s = spark.createDataFrame([("gravar", "indice"), ("ler", "indice")], "id string, sobrevivente string")
+    e = spark.createDataFrame([("gravar", "ler", "calls"), ("gravar", "fusao", "references"), ("ler", "fusao", "references"), ("busca", "ler", "calls"), (None, "ler", "calls")], "source string, target string, relation string")
+    return remap_edges(e, s, "id").select("source", "target", "relation")
+
+
+@query(rows("source target relation w", ("a", "b", "r", 1), ("a", "b", "s", 2)))
+def u06_first_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Of edges of one source, target and relation the first that came."""
+    e = spark.createDataFrame([("a", "b", "r", 1), ("a", "b", "s", 2), ("a", "b", "r", 3)], "source string, target string, relation string, w int")
+    return latest_wins(e, ["source", "target", "relation"], [F.asc("w")])
+
+
 # over whole tables: skills as nodes, linked to the next skill of their repository
 
 def _skill_nodes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from garimpo.functions import claims as C
+from garimpo.functions import texts as X
+from garimpo.operators import ranking as R
 from garimpo.plans.registry import registry, rows
 from garimpo.runtime import load
 
@@ -143,3 +145,37 @@ def t57_handoff_summary(spark: SparkSession, d: str) -> DataFrame:
 def t60_sidecars(spark: SparkSession, d: str) -> DataFrame:
     f = [("a/x.pdf", "..."), ("a/y.pdf", "..."), ("a/x.pdf.meta.yaml", "titulo: 'Um titulo'\nlista:\n  - a\nano: 2025\n")]
     return C.with_sidecars(spark.createDataFrame(f, "caminho string, texto string")).select("caminho", F.try_element_at("meta", F.lit("titulo")).alias("titulo"))
+
+
+_HEADS = [
+    (1, '---\ntitle: Um: dois\ntags: [a, "b, c", \'d\'\'e\']\n---\ncorpo'), (2, "---\naliases:\n  - Um nome\n  - \"Outro: nome\"\nx: 1\n---\n"), (3, "---\ntags: so um\n---\n"), (4, "sem cabeca"), (5, None),
+]
+
+
+@query(rows("id tags aliases", (1, ["a", "b, c", "d'e"], []), (2, [], ["Um nome", "Outro: nome"]), (3, ["so um"], []), (4, [], []), (5, [], [])))
+def t16_front_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Lists in one line with quotes, in lines, of one value, of no head."""
+    return spark.createDataFrame(_HEADS, "id int, t string").select("id", C.front_list(F.col("t"), "tags").alias("tags"), C.front_list(F.col("t"), "aliases").alias("aliases"))
+
+
+@query(rows("id texto", (1, '---\ntitle: "Um: dois"\nok: simples\ntags: [a, "x: y", \'z\']\nn: "q: r"\n---\ncorpo: livre'), (2, "sem cabeca: x: y"), (3, "---\na: @b\n---\n".replace("@b", '"@b"'))))
+def t58_repaired_heads(spark: SparkSession, d: str) -> DataFrame:
+    t = [(1, "---\ntitle: Um: dois\nok: simples\ntags: [a, x: y, 'z']\nn: \"q: r\"\n---\ncorpo: livre"), (2, "sem cabeca: x: y"), (3, "---\na: @b\n---\n")]
+    return spark.createDataFrame(t, "id int, t string").select("id", C.repaired_head(F.col("t")).alias("texto"))
+
+
+@query(rows("nome em:TIMESTAMP", ("Screenshot_20250301-101530.png", "2025-03-01 10:15:30"), ("IMG-2024-02-29 at 23.59.01.jpg", "2024-02-29 23:59:01"), ("2023_12_24.png", "2023-12-24 00:00:00"), ("20230231.png", None), ("foto.png", None), ("1234567890123.png", None)))
+def t59_capture_dates(spark: SparkSession, d: str) -> DataFrame:
+    n = ["Screenshot_20250301-101530.png", "IMG-2024-02-29 at 23.59.01.jpg", "2023_12_24.png", "20230231.png", "foto.png", "1234567890123.png"]
+    return spark.createDataFrame([(x,) for x in n], "nome string").select("nome", C.capture_date(F.col("nome")).alias("em"))
+
+
+@query("SELECT id, list_distinct(list_filter(list_transform(regexp_extract_all(texto, '([\\p{L}\\p{N}_][\\p{L}\\p{N}_.\\-]*)', 1), lambda t: lower(trim(t, '.-'))), lambda t: length(t) >= 2 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in R.STOP_WORDS) + "], t)))[1:24].len() AS termos FROM consultas WHERE texto IS NOT NULL")
+def t07_query_terms(spark: SparkSession, d: str) -> DataFrame:
+    """How many terms each query has."""
+    return load(spark, d, "consultas").where("texto IS NOT NULL").select("id", F.size(R.query_terms(F.col("texto"))).cast("long").alias("termos"))
+
+
+@query("WITH s AS (SELECT id, greatest(1800000000 - em, 0) AS s FROM consultas WHERE em IS NOT NULL) SELECT id, CASE WHEN s < 3600 THEN CAST(CAST(floor(s / 60) AS BIGINT) AS VARCHAR) || ' min' WHEN s < 86400 THEN CAST(CAST(floor(s / 3600) AS BIGINT) AS VARCHAR) || ' h' WHEN s < 2592000 THEN CAST(CAST(floor(s / 86400) AS BIGINT) AS VARCHAR) || ' d' ELSE CAST(CAST(floor(s / 2592000) AS BIGINT) AS VARCHAR) || ' m' END AS idade FROM s")
+def t21_ages(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "consultas").where("em IS NOT NULL").select("id", X.human_age(F.lit(1_800_000_000.0) - F.col("em")).alias("idade"))
