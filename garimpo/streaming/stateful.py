@@ -111,3 +111,36 @@ def current(spark: SparkSession, target: str, op: str | None = None) -> DataFram
     """Rows of a merged table that are not deleted."""
     t = spark.read.parquet(target)
     return (t if op is None else t.where(F.coalesce(F.lower(F.trim(op)) != "d", F.lit(True)))).drop("__bucket")
+
+
+def changed_versions(versions: DataFrame, key: str, at: str, content: str) -> DataFrame:
+    """``(key, at, marca)`` of versions whose content differs from the last one of their key; state per key: the last mark.
+
+    Versions of one micro-batch are taken in the order of time; equal contents one after the other give one version.
+    """
+    src = versions.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias(key), F.col(at).cast("double").alias(at), F.sha2(F.coalesce(content, F.lit("")), 256).alias("marca"))
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(batches)).sort_values(at, kind="stable")
+        new = rows[rows["marca"] != rows["marca"].shift(1, fill_value=last if last is not None else "")]
+        state.update((str(rows["marca"].iloc[-1]),))
+        yield pd.DataFrame({key: k[0], at: new[at].astype(float), "marca": new["marca"]})
+
+    return src.groupBy(key).applyInPandasWithState(run, f"{key} string, {at} double, marca string", "marca string", "append", GroupStateTimeout.NoTimeout)
+
+
+def refreshed(cache: DataFrame, log: DataFrame, read_to: int, whole: DataFrame, key: str, seq: str = "seq", op: str = "op") -> tuple[DataFrame, int, bool]:
+    """``(rows, read to, reloaded)``: a reader's copy brought up to date from the change log.
+
+    Keys changed since ``read_to`` are taken anew from ``whole``, deleted ones go. Where the log no longer reaches back to what was read, all of
+    ``whole`` is loaded. The reader's place and the log's ends are three numbers.
+    """
+    ends = log.agg(F.min(seq).alias("a"), F.max(seq).alias("z")).first()
+    if ends["z"] is None or ends["z"] <= read_to:
+        return cache, read_to, False
+    if ends["a"] > read_to + 1:
+        return whole, int(ends["z"]), True
+    moved = log.where(F.col(seq) > read_to).groupBy(key).agg(F.max_by(F.lower(F.trim(op)), seq).alias("__op"))
+    live = whole.join(moved.where("__op <> 'd'").select(key), key, "left_semi").select(cache.columns)
+    return cache.join(moved.select(key), key, "left_anti").select(cache.columns).unionByName(live), int(ends["z"]), False

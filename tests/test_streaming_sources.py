@@ -95,3 +95,20 @@ def test_ingest(spark):
     got = files.ingest(df, "k", "p", "t").orderBy("id").collect()
     assert [r.id for r in got] == ["/a.md::chunk_0", "/a.md::chunk_1"]
     assert spark.createDataFrame(got).select(F.get_json_object("meta", "$.total_chunks").alias("t")).distinct().first().t == "2"
+
+
+def test_versions_are_kept_if_they_changed(spark, tmp_path):
+    s = _stream(spark, tmp_path / "v", [[("a", 1.0, "x"), ("a", 2.0, "x"), ("b", 1.0, None)], [("a", 3.0, "x"), ("a", 4.0, "y")], [("a", 6.0, "x"), ("a", 5.0, "y"), ("b", 2.0, "")]], "k string, em double, t string")
+    got = _run(spark, stateful.changed_versions(s, "k", "em", "t"), "append", "vers").collect()
+    assert sorted((r.k, r.em) for r in got) == [("a", 1.0), ("a", 4.0), ("a", 6.0), ("b", 1.0)]
+
+
+def test_cache_follows_the_log(spark):
+    whole = spark.createDataFrame([(1, "n1"), (2, "b"), (4, "d")], "k int, v string")
+    cache = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, v string")
+    log = spark.createDataFrame([(5, 2, "u"), (6, 1, "u"), (7, 3, " D"), (8, 4, "u")], "seq int, k int, op string")
+    rows, to, all_ = stateful.refreshed(cache, log, 5, whole, "k")
+    assert sorted(map(tuple, rows.collect())) == [(1, "n1"), (2, "b"), (4, "d")] and (to, all_) == (8, False)
+    rows, to, all_ = stateful.refreshed(cache, log, 2, whole, "k")
+    assert rows is whole and (to, all_) == (8, True)
+    assert stateful.refreshed(cache, log, 8, whole, "k")[0] is cache and stateful.refreshed(cache, log.limit(0), 3, whole, "k")[2] is False
