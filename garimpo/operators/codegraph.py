@@ -124,34 +124,55 @@ def question_subgraph(nodes: DataFrame, edges: DataFrame, asks: DataFrame, depth
     return out
 
 
+def _grams(c: Column, n: Column) -> Column:
+    """Hashes of all runs of ``n`` characters; none in a shorter text."""
+    at = F.when(F.length(c) >= n, F.sequence(F.lit(1), F.length(c) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.substring(c, i, n))))
+
+
+def _inside(keys: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(k, lo, hi)``: least and greatest id of the labels that hold each of different non-empty ``keys (k)``; ``labels``: different ones as (l, lo, hi).
+
+    A key meets the labels that hold its rarest run of characters, of the greatest power of two that it is long enough for, so neither side
+    is broadcast and no number of keys is too many.
+    """
+    size = F.pow(F.lit(2), F.floor(F.log2(F.length("k")))).cast("int")
+    sizes = [r["n"] for r in keys.select(size.alias("n")).distinct().collect()]  # one number a doubling of the length
+    if not sizes:
+        return keys.join(labels.select(F.col("l").alias("k"), "lo", "hi"), "k")
+    own = checkpoint(keys.select("k", F.explode(_grams(F.col("k"), size)).alias("g")))
+    held = labels.select("l", "lo", "hi", F.explode(F.array_distinct(F.concat(*[_grams(F.col("l"), F.lit(n)) for n in sizes]))).alias("g"))
+    held = checkpoint(held.join(own.select("g").distinct(), "g", "left_semi"))
+    often = own.join(held.groupBy("g").agg(F.count("*").alias("n")), "g", "left")
+    rarest = often.groupBy("k").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("m")).where("m.n > 0").select("k", "m.g")
+    return rarest.join(held, "g").where(F.col("l").contains(F.col("k"))).groupBy("k").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
 def resolve_seeds(nodes: DataFrame, asks: DataFrame) -> DataFrame:
     """``(qid, id, degrau)`` for ``(qid, texto)``: the id itself, else the only node of that label, of that bare name, of that file, or whose label contains it.
 
-    ``id`` is null where no rung has exactly one node. Equality rungs join by key; only asks left over are looked for inside labels, at
-    most ``LEFT_OVER`` of them, whose number is checked.
+    ``id`` is null where no rung has exactly one node. Equality rungs join by key, each key with its least and greatest id only; asks left
+    over are looked for inside labels, equal ones once.
     """
     norm = lambda c: casefolded(F.coalesce(c, F.lit("")))
     bare = lambda c: F.regexp_replace(norm(c), r"\(\)$", "")
     n = nodes.select("id", norm(F.col("label")).alias("l"), bare(F.col("label")).alias("nome"), norm(F.col("source_file")).alias("f"))
     text = F.regexp_replace("texto", r"(?<=.)[/\\]+$", "")
     q = checkpoint(asks.select("qid", text.alias("raw"), norm(text).alias("l"), bare(text).alias("nome")))
+    by = lambda on, k: n.where(F.col(on) != "").groupBy(F.col(on).alias(k)).agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+
+    def only(hits: DataFrame, name: int) -> DataFrame:
+        one = hits.groupBy("qid").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo = hi")
+        return one.select("qid", F.lit(name).alias("degrau"), F.col("lo").alias("id"))
 
     def rung(name: int, key: Column, on: str) -> DataFrame:
-        hits = q.select("qid", key.alias("k")).where("k <> ''").join(n.select(F.col(on).alias("k"), "id"), "k").groupBy("qid").agg(F.countDistinct("id").alias("n"), F.min("id").alias("id"))
-        return hits.where("n = 1").select("qid", F.lit(name).alias("degrau"), "id")
+        return only(q.select("qid", key.alias("k")).join(by(on, "k"), "k"), name)
 
     found = reduce(DataFrame.unionByName, [rung(1, F.col("raw"), "id"), rung(2, F.col("l"), "l"), rung(3, F.col("nome"), "nome"), rung(4, F.col("l"), "f")])
     found = checkpoint(found.groupBy("qid").agg(F.min(F.struct("degrau", "id")).alias("m")).select("qid", "m.degrau", "m.id"))
-    left = checkpoint(q.join(found, "qid", "left_anti").where("l <> ''"))
-    if left.count() > LEFT_OVER:
-        raise ValueError(f"more than {LEFT_OVER} asks to look for inside labels: run them in several calls")
-    inside = F.broadcast(left.select("qid", F.col("l").alias("k"))).join(n, F.col("l").contains(F.col("k"))).groupBy("qid").agg(F.countDistinct("id").alias("n"), F.min("id").alias("id"))
-    last = inside.where("n = 1").select("qid", F.lit(5).alias("degrau"), "id")
-    return asks.select("qid").join(found.unionByName(last.select("qid", "degrau", "id")), "qid", "left").select("qid", "id", "degrau")
-
-
-#: Asks that are looked for inside labels in one call: they are broadcast.
-LEFT_OVER = 10_000
+    left = checkpoint(q.join(found, "qid", "left_anti").where("l <> ''").select("qid", F.col("l").alias("k")))
+    last = only(left.join(_inside(left.select("k").distinct(), by("l", "l")), "k"), 5)
+    return asks.select("qid").join(found.unionByName(last), "qid", "left").select("qid", "id", "degrau")
 
 
 def affected_by(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:

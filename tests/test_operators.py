@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from garimpo.functions import texts as X
+from garimpo.operators import codegraph as C
 from garimpo.operators import entities as E
 from garimpo.operators import filters as P
 from garimpo.operators import graph as G
@@ -240,3 +241,17 @@ def test_labels_settle_or_swing(spark):
     pair = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("b", "y")], "source string, target string")
     assert {r.id for r in G.communities(pair).collect()} == {"a", "b", "x", "y"}
     assert G.communities(pair.limit(0)).count() == 0
+
+
+def test_any_number_of_seeds_is_looked_for_inside_labels(spark):
+    labels = {f"n{i}": f"Nó {i} de {'cache-' * (i % 9)}índice {i * 7919 % 1000:03d}" for i in range(300)} | {"same": "Nó 1 de cache-índice 919", "empty": "", "none": None}
+    n = spark.createDataFrame([(k, t, None) for k, t in labels.items()], "id string, label string, source_file string")
+    asks = [f"{i} DE" for i in range(310)] + [f"ÍNDICE {i:03d}" for i in range(1000)] + ["n", "cache-cache", "", None, "919"] + [f"nowhere {i}" for i in range(9000)]
+    low = {k: (t or "").lower() for k, t in labels.items()}
+
+    def want(t):
+        hits = [k for k in low if t and t.lower() in low[k]]
+        return (hits[0], 5) if len(hits) == 1 else (None, None)
+
+    got = {r.qid: (r.id, r.degrau) for r in C.resolve_seeds(n, spark.createDataFrame(list(enumerate(asks)), "qid int, texto string")).collect()}
+    assert got == {i: want(t) for i, t in enumerate(asks)} and sum(x[1] == 5 for x in got.values()) > 200
