@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +22,8 @@ PRIME = (1 << 61) - 1
 BANDS, ROWS = 14, 9
 #: Labels of a band that are paired within it; of a larger one all are compared exactly.
 HOT = 200
-#: Letters by rising frequency in the supported languages; other characters come before them.
-RARE = "zqjxkwvybhgfpmucldrnsotiae"
+#: Columns that letters are counted in, labels of a tile that is compared at once, least labels of a block and most blocks.
+TOKENS, TILE, BLOCK, BLOCKS = 256, 1024, 2048, 64
 
 
 @lru_cache(maxsize=4)
@@ -63,45 +61,95 @@ def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(np.frombuffer(b"".join(keys), np.int64))], ["rotulo", "banda"])
 
 
-def _exact_keys(threshold: float):  # noqa: ANN202
-    """Keys of which two labels share one if their Jaro-Winkler similarity reaches the threshold.
+def _tokens(labels: list[str]) -> np.ndarray:
+    """``(labels, TOKENS)``: how many of a label's letters, each with its number among equal ones, fall in a column; the product of two
+    rows is the number of common letters, or more where columns are shared."""
+    out = np.zeros((len(labels), TOKENS), np.float32)
+    for row, label in enumerate(labels):
+        seen: dict[str, int] = {}
+        for c in label:
+            seen[c] = k = seen.get(c, 0) + 1
+            out[row, (ord(c) * 31 + k * 97) % TOKENS] += 1
+    return out
+
 
-    With p letters in common at the beginning, a similarity of t needs m common characters with m/|a| + m/|b| >= 3 (t - p/10) / (1 - p/10) - 1.
-    Two labels with that many share two of the first |a| - m + 2 and |b| - m + 2 of their characters in a common order, rarest first.
-    A key names p and these letters, both lengths and two characters; one character where one common one is enough.
+def close_pairs(x: list[str], y: list[str] | None, threshold: float) -> Iterator[tuple[list[str], list[str]]]:
+    """All pairs of ``x`` with ``y``, or within ``x``, whose Jaro-Winkler similarity reaches the threshold, in parts.
+
+    m common letters allow a Jaro similarity of (m/|a| + m/|b| + 1)/3 at most. Pairs are dropped by this bound as if four letters were
+    common at the beginning, then with those that are, and the rest is compared exactly.
     """
-    rank = {c: i for i, c in enumerate(RARE)}
-    need = {p: 3 * (threshold - p / 10) / (1 - p / 10) - 1 for p in range(5)}
+    def side(labels: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        labels = sorted(labels, key=len)
+        first = np.frombuffer("".join(t[:4].ljust(4, "\0") for t in labels).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, 4)
+        return labels, 1 / np.fromiter(map(len, labels), np.float32, len(labels)), _tokens(labels), first
+
+    # a bonus is given over 0.7 only
+    least = min(threshold, max(0.7, (threshold - 0.4) / 0.6)) - 1e-5
+    a, ia, ta, fa = side(x)
+    b, ib, tb, fb = (a, ia, ta, fa) if y is None else side(y)
+    for i in range(0, len(a), TILE):
+        for j in range(i if y is None else 0, len(b), TILE):
+            u, v = ia[i : i + TILE], ib[j : j + TILE]
+            if (2 + min(1, u.max() / v.min(), v.max() / u.min())) / 3 < least:  # all lengths differ too much; u, v are their inverses
+                continue
+            bound = (ta[i : i + TILE] @ tb[j : j + TILE].T) * (u[:, None] + v)
+            ok = bound >= 3 * least - 1
+            r, c = np.nonzero(np.triu(ok, 1) if y is None and i == j else ok)
+            top = (bound[r, c].astype(np.float64) + 1) / 3
+            r, c = r + i, c + j
+            same = (fa[r] == fb[c]) & (fa[r] != 0)
+            top = np.where(top > 0.7 - 1e-5, top + 0.1 * np.cumprod(same, axis=1).sum(axis=1) * (1 - top), top)
+            r, c = r[top >= threshold - 1e-5], c[top >= threshold - 1e-5]
+            wide = max(len(a[min(i + TILE, len(a)) - 1]), len(b[min(j + TILE, len(b)) - 1]))
+            step = max(1, min(8192, 2_000_000 // max(16, wide)))
+            for at in range(0, len(r), step):
+                p, q = [a[k] for k in r[at : at + step]], [b[k] for k in c[at : at + step]]
+                s, n = jaro_batch(p, q)
+                keep = np.flatnonzero(np.where(s > 0.7, s + 0.1 * n * (1 - s), s) >= threshold)
+                yield [min(p[k], q[k]) for k in keep], [max(p[k], q[k]) for k in keep]
+
+
+def _cells(threshold: float):  # noqa: ANN202
+    """Streams rows (cell, left, rotulo) sorted by cell: the similar pairs of each; a cell without right labels is paired within."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, len(whole), 200):
-                labels, keys = [], []
-                for label in whole.column(0).slice(at, 200).to_pylist():
-                    n, seen, tokens = len(label), {}, []
-                    for c in label:
-                        seen[c] = seen.get(c, 0) + 1
-                        tokens.append((-seen[c], rank.get(c, -1), c))
-                    tokens.sort()
-                    own = set()
-                    for p in range(min(4, n) + 1):
-                        x = need[p]
-                        for m in range(max(1, math.ceil(n * (x - 1) - 1e-9)), math.floor(n / (x - 1) + 1e-9) + 1):
-                            common = math.ceil(x * n * m / (n + m) - 1e-9)
-                            share = min(2, common)
-                            for ts in combinations(tokens[: n - common + share], share):
-                                own.add((p, label[:p], min(n, m), max(n, m), *((t[0], t[2]) for t in ts)))
-                    for k in own:
-                        labels.append(label)
-                        keys.append(hashlib.blake2b(repr(k).encode("utf-8", "surrogatepass"), digest_size=8).digest())
-                yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(np.frombuffer(b"".join(keys), np.int64))], ["rotulo", "banda"])
+        open_, held = None, ([], [])
+
+        def pairs() -> Iterator[pa.RecordBatch]:
+            for x, y in close_pairs(held[0], held[1], threshold) if open_[1] else close_pairs(held[0], None, threshold):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()), pa.array(y, pa.string())], ["a", "b"])
+
+        for b in batches:
+            for *cell, left, label in zip(*[c.to_pylist() for c in b.columns]):
+                if cell != open_:
+                    if open_ is not None:
+                        yield from pairs()
+                    open_, held = cell, ([], [])
+                held[0 if left else 1].append(label)
+        if open_ is not None:
+            yield from pairs()
 
     return run
 
 
+def _close(labels: DataFrame, threshold: float) -> DataFrame:
+    """``(a, b)``: all pairs of different ``labels (rotulo)``, written already, whose similarity reaches the threshold.
+
+    Labels go to blocks and each pair of blocks is one cell, so a label is sent once a block, ``BLOCKS`` times at most, and nothing else is written.
+    """
+    n = max(4, min(BLOCKS, -(-labels.count() // BLOCK)))
+    h, o = F.pmod(F.xxhash64("rotulo"), F.lit(n)), F.col("o")
+    each = labels.select("rotulo", h.alias("h"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("o"))
+    rows = each.select((F.least("h", o) * n + F.greatest("h", o)).alias("cell"), (F.col("h") != o).alias("two"), (F.col("h") <= o).alias("left"), "rotulo")
+    tasks = min(n * (n + 1) // 2, 4 * labels.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(_cells(threshold), "a string, b string")
+
+
 def _met(bands: DataFrame) -> DataFrame:
+    # never broadcast: a label has many bands, which Spark's estimate of the size does not know
     x, y = bands.select(F.col("rotulo").alias("a"), "banda"), bands.select(F.col("rotulo").alias("b"), "banda")
-    return x.join(y, "banda").where("a < b").select("a", "b").distinct()
+    return x.join(y.hint("merge"), "banda").where("a < b").select("a", "b").distinct()
 
 
 def label_pairs(labels: DataFrame, column: str, threshold: float = 0.92, least_bits: float = 2.5, exact: bool = False) -> DataFrame:
@@ -109,20 +157,19 @@ def label_pairs(labels: DataFrame, column: str, threshold: float = 0.92, least_b
 
     Labels are normalised and deduplicated first, so equal labels never meet; those under ``least_bits`` of entropy per character say too
     little to be merged and take no part. Null labels are left out. By default candidates share a band of their MinHash signatures, which
-    is the engine's own rule and finds pairs of similar trigrams only; labels of a band over ``HOT`` labels are compared by the
-    exact keys instead, so no band is expanded whole. With ``exact`` no pair of the threshold is lost.
+    is the engine's own rule and finds pairs of similar trigrams only; labels of a band over ``HOT`` labels are all compared
+    exactly instead, so no band is expanded whole. With ``exact`` all labels are, and no pair of the threshold is lost.
     """
     # cut here, or the test of each label would be made for each row
     n = checkpoint(labels.select(normal_label(F.col(column)).alias("rotulo")).where("rotulo <> ''").distinct())
     n = checkpoint(n.where(entropy(F.col("rotulo")) >= least_bits))
-    keys = lambda d: d.select("rotulo").mapInArrow(_exact_keys(threshold), "rotulo string, banda bigint")
     if exact:
-        return _met(checkpoint(keys(n)))
+        return _close(n, threshold)
     bands = checkpoint(n.select("rotulo", char_shingles(F.col("rotulo")).alias("s")).mapInArrow(_band_keys, "rotulo string, banda bigint"))
     size = bands.groupBy("banda").agg(F.count("*").alias("n"))
     cold = bands.join(size.where(F.col("n").between(2, HOT)).select("banda"), "banda", "left_semi")
     hot = bands.join(size.where(F.col("n") > HOT).select("banda"), "banda", "left_semi").select("rotulo").distinct()
-    return _met(cold).unionByName(_met(keys(hot))).distinct()
+    return _met(cold).unionByName(_close(checkpoint(hot), threshold)).distinct()
 
 
 def similar_labels(labels: DataFrame, column: str, threshold: float = 0.92, least_bits: float = 2.5, exact: bool = False) -> DataFrame:

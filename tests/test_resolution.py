@@ -49,3 +49,21 @@ def test_exact_candidates_lose_nothing(spark):
     assert got == want and len(want) > 100
     few = {(x.a, x.b) for x in E.similar_labels(spark.createDataFrame([(t,) for t in labels], "l string"), "l", 0.9, 0.0).collect()}
     assert few <= want and few
+
+
+def test_exact_pairs_of_many_labels_write_no_keys(spark):
+    import random
+
+    from garimpo.operators.entities import jaro_winkler_of
+
+    r = random.Random(6)
+    words = ["cache", "índice", "fila", "ponte", "norte", "索引", "x"]
+    labels = sorted({" ".join([*r.choices(words, k=r.randrange(1, 4)), "".join(r.choices("abc19", k=3))]) for _ in range(900)} | {"a" * 70, "a" * 69 + "b"})
+    for t in (0.6, 0.75, 0.87, 0.92):
+        got = [p for x in E.close_pairs(labels[:120], labels[120:240], t) for p in zip(*x)] + [p for x in E.close_pairs(labels[:120], None, t) for p in zip(*x)]
+        want = {(a, b) if a < b else (b, a) for i, a in enumerate(labels[:120]) for b in labels[i + 1 : 240] if jaro_winkler_of(a, b) >= t}
+        assert len(got) == len(set(got)) and set(got) == want and want
+    rows = spark.createDataFrame([(x,) for x in labels], "l string")
+    pairs = E.label_pairs(rows, "l", 0.9, 0.0, exact=True)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and {tuple(p) for p in pairs.collect()} == {(a, b) for i, a in enumerate(labels) for b in labels[i + 1 :] if jaro_winkler_of(a, b) >= 0.9}
