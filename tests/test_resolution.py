@@ -67,3 +67,26 @@ def test_exact_pairs_of_many_labels_write_no_keys(spark):
     pairs = E.label_pairs(rows, "l", 0.9, 0.0, exact=True)
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and {tuple(p) for p in pairs.collect()} == {(a, b) for i, a in enumerate(labels) for b in labels[i + 1 :] if jaro_winkler_of(a, b) >= 0.9}
+
+
+def test_resolving_writes_labels_and_pairs_only(spark, monkeypatch):
+    from garimpo.operators.entities import jaro_winkler_of
+
+    labels = [f"{a} {b} {i:02d}" for a in ("ponte", "cofre", "norte") for b in ("de busca", "noturno") for i in range(20)]
+    written, cut = [], E.checkpoint
+    group = {x: x for x in labels}
+    for a, b in itertools.combinations(labels, 2):
+        if jaro_winkler_of(a, b) >= 0.92 and group[a] != group[b]:
+            old, new = max(group[a], group[b]), min(group[a], group[b])
+            group |= {x: new for x in labels if group[x] == old}
+
+    def counted(df, *a):
+        out = cut(df, *a)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(E, "checkpoint", counted)
+    got = E.resolve(spark.createDataFrame([(f"n{i:03d}", x) for i, x in enumerate(labels)], "id string, label string"), "id", "label", exact=True).collect()
+    ids = {x: f"n{i:03d}" for i, x in enumerate(labels)}
+    assert {r.id: r.sobrevivente for r in got} == {ids[x]: min(ids[y] for y in labels if group[y] == group[x]) for x in labels}
+    assert max(written) <= len(labels) * 20
