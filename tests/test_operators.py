@@ -255,3 +255,42 @@ def test_any_number_of_seeds_is_looked_for_inside_labels(spark):
 
     got = {r.qid: (r.id, r.degrau) for r in C.resolve_seeds(n, spark.createDataFrame(list(enumerate(asks)), "qid int, texto string")).collect()}
     assert got == {i: want(t) for i, t in enumerate(asks)} and sum(x[1] == 5 for x in got.values()) > 200
+
+
+def _bm25_of(asks, texts, top):
+    n, avg = len(texts), sum(map(len, texts.values())) / len(texts)
+    out = []
+    for q, terms in asks:
+        s = {}
+        for w in set(terms):
+            df = sum(w in t for t in texts.values())
+            for d, t in texts.items():
+                if f := t.count(w):
+                    s[d] = s.get(d, 0) + math.log(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(t) / avg))
+        best = sorted((-round(v, 6), d) for d, v in s.items())[:top]
+        out += [(q, d, -v, i + 1) for i, (v, d) in enumerate(best)]
+    return out
+
+
+def test_bm25_keeps_the_best_of_each_task(spark):
+    import random
+
+    r = random.Random(3)
+    texts = {d: r.choices("abcdefghij", k=r.randrange(1, 30)) for d in range(2500)}
+    asks = [(i, r.choices("abcdefghijklm", k=r.randrange(1, 6))) for i in range(40)] + [(90, ["a", "b"]), (91, ["b", "a", "b"]), (92, []), (93, ["zz"])]
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc long, t string").repartition(4)
+    q = spark.createDataFrame(asks, "qid int, terms array<string>")
+    tf, lens = R.postings(docs, "doc", {"t": 1.0}, q.select(F.explode("terms").alias("term")))
+    for size in (200_000, 30):
+        got = R.bm25(q, tf, lens, 7, pass_terms=size)
+        assert [(x.qid, x.doc, round(x.score, 5), x.posicao) for x in got.orderBy("qid", "posicao").collect()] == [(a, d, round(v, 5), p) for a, d, v, p in _bm25_of(asks, texts, 7)]
+    # pairs of a query and a document are not shuffled: only the best of each task
+    assert "mapinarrow" in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert R.bm25(q.where("qid > 91"), tf, lens, 7).count() == 0 and R.bm25(q, tf, lens.limit(0), 7).count() == 0
+
+
+def test_terms_of_postings_are_broadcast_once_counted(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc long, t string")
+    many = spark.range(50_000).select(F.concat(F.lit("t"), "id").alias("term")).union(docs.select(F.lit("a")))
+    tf, _ = R.postings(docs, "doc", {"t": 1.0}, many.repartition(3))
+    assert "BroadcastHashJoin" in tf._jdf.queryExecution().executedPlan().toString() and rows(tf) == [("a", 1, 1.0)]
