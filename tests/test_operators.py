@@ -294,3 +294,14 @@ def test_terms_of_postings_are_broadcast_once_counted(spark):
     many = spark.range(50_000).select(F.concat(F.lit("t"), "id").alias("term")).union(docs.select(F.lit("a")))
     tf, _ = R.postings(docs, "doc", {"t": 1.0}, many.repartition(3))
     assert "BroadcastHashJoin" in tf._jdf.queryExecution().executedPlan().toString() and rows(tf) == [("a", 1, 1.0)]
+
+
+@pytest.mark.parametrize("name", ["r01_rank_fusion"])
+def test_lexical_lists_are_made_once(spark, name):
+    import __spark_entry__ as entry
+    import oracle
+
+    df = entry.queries()[name](spark, f"{oracle.DATA}/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" not in plan
+    assert oracle.compare(spark, name, entry.queries()[name], entry.oracle_sql()[name], "sf0.001") > 0
