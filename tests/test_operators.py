@@ -296,7 +296,7 @@ def test_terms_of_postings_are_broadcast_once_counted(spark):
     assert "BroadcastHashJoin" in tf._jdf.queryExecution().executedPlan().toString() and rows(tf) == [("a", 1, 1.0)]
 
 
-@pytest.mark.parametrize("name", ["r01_rank_fusion"])
+@pytest.mark.parametrize("name", ["r01_rank_fusion", "r07_authority_rerank"])
 def test_lexical_lists_are_made_once(spark, name):
     import __spark_entry__ as entry
     import oracle
