@@ -20,6 +20,8 @@ from garimpo.runtime import checkpoint
 
 #: Deviations that make an anomaly, values of a change window, items worth an analysis, values looked at for identifiers and scores.
 SIGMAS, WINDOW, LEAST_ITEMS, ID_SAMPLE, SCORE_SAMPLE = 2.0, 5, 5, 20, 50
+#: Most columns of all tables together whose heads are broadcast.
+HEADS = 100_000
 #: Share of rows under which a key is rare.
 RARE_KEY = 0.2
 #: Words of an item that reports an error.
@@ -31,8 +33,12 @@ def entries(items: DataFrame) -> DataFrame:
     v = items.select("grp", "pos", F.explode(F.from_json("item", "map<string,variant>")).alias("chave", "v"))
     kind = F.schema_of_variant("v")
     name = F.when(kind == "BOOLEAN", "boolean").when(kind == "STRING", "string").when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").when(kind == "VOID", None).otherwise("numeric")
-    text = F.when(kind == "STRING", F.try_variant_get("v", "$", "string")).when(kind == "VOID", None).otherwise(F.to_json("v"))
-    return v.select("grp", "pos", "chave", name.alias("tipo"), text.alias("valor"), F.when(name == "numeric", F.try_variant_get("v", "$", "double")).alias("numero"))
+    return v.select("grp", "pos", "chave", name.alias("tipo"), _text(F.col("v")).alias("valor"), F.when(name == "numeric", F.try_variant_get("v", "$", "double")).alias("numero"))
+
+
+def _text(v: Column) -> Column:
+    kind = F.schema_of_variant(v)
+    return F.when(kind == "STRING", F.try_variant_get(v, "$", "string")).when(kind == "VOID", None).otherwise(F.to_json(v))
 
 
 def objects(items: DataFrame) -> DataFrame:
@@ -302,8 +308,10 @@ def crushed(items: DataFrame, least_saving: float = 0.0) -> DataFrame:
 
 def table_columns(items: DataFrame, e: DataFrame | None = None) -> DataFrame:
     """``(grp, chave, ordem, n)``: keys of each array by falling frequency, then name."""
-    e = entries(items) if e is None else e
-    n = e.groupBy("grp", "chave").agg(F.countDistinct("pos").alias("n"))
+    if e is None:
+        n = items.select("grp", F.explode(F.array_distinct(F.map_keys(F.from_json("item", "map<string,variant>")))).alias("chave")).groupBy("grp", "chave").agg(F.count("*").alias("n"))
+    else:
+        n = e.groupBy("grp", "chave").agg(F.countDistinct("pos").alias("n"))
     return n.withColumn("ordem", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("n"), "chave"))).select("grp", "chave", "ordem", "n")
 
 
@@ -316,14 +324,17 @@ def quoted_cell(c: Column) -> Column:
 def as_table(items: DataFrame, form: str = "csv") -> DataFrame:
     """``(grp, linha, texto)``: arrays as tables, one row a line: line 0 is the head, ``csv`` with types and quotes, ``markdown`` or ``kv``.
 
-    Missing and null cells are empty; an empty text is ``""``. Tables of any length are rows, never one text.
+    Missing and null cells are empty; an empty text is ``""``. Tables of any length are rows, never one text. Cells are read where their
+    item lies: of all entries only keys and types are grouped, and what is joined is one head a table.
     """
-    e = checkpoint(entries(items))
-    cols = checkpoint(table_columns(items, e))
-    kinds = e.where("tipo IS NOT NULL").groupBy("grp", "chave").agg(F.when(F.countDistinct("tipo") == 1, F.min("tipo")).otherwise("mixed").alias("tipo"))
-    head = cols.join(kinds, ["grp", "chave"], "left").groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("ordem", "chave", F.coalesce("tipo", F.lit("null")).alias("tipo")))).alias("h"))
-    cells = e.groupBy("grp", "pos").agg(F.map_from_entries(F.collect_list(F.struct("chave", "valor"))).alias("m"))
-    own = objects(items).select("grp", "pos").join(cells, ["grp", "pos"], "left").join(head.select("grp", F.transform("h", lambda x: x["chave"]).alias("ks")), "grp")
+    kinds = entries(items).groupBy("grp", "chave").agg(F.when(F.min("tipo") == F.max("tipo"), F.min("tipo")).when(F.max("tipo").isNotNull(), "mixed").alias("tipo"))
+    cols = table_columns(items).join(kinds, ["grp", "chave"], "left")
+    head = checkpoint(cols.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("ordem", "chave", F.coalesce("tipo", F.lit("null")).alias("tipo")))).alias("h")))
+    names = head.select("grp", F.transform("h", lambda x: x["chave"]).alias("ks"))
+    # the estimated size of the heads is that of the items they come from, so they are counted
+    few = head.agg(F.sum(F.size("h"))).first()[0] or 0
+    cells = objects(items).select("grp", "pos", F.transform_values(F.from_json("item", "map<string,variant>"), lambda _, v: _text(v)).alias("m"))
+    own = cells.join(F.broadcast(names) if few <= HEADS else names.hint("merge"), "grp")
     plain = lambda f: F.transform("ks", lambda k: f(F.try_element_at("m", k)))
     pipe = lambda v: F.coalesce(F.replace(F.replace(v, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" ")), F.lit(""))
     if form == "csv":

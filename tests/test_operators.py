@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from garimpo.functions import texts as X
 from garimpo.operators import codegraph as C
+from garimpo.operators import crusher as J
 from garimpo.operators import entities as E
 from garimpo.operators import filters as P
 from garimpo.operators import graph as G
@@ -305,3 +306,18 @@ def test_lexical_lists_are_made_once(spark, name):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "MapInArrow" not in plan
     assert oracle.compare(spark, name, entry.queries()[name], entry.oracle_sql()[name], "sf0.001") > 0
+
+
+def test_tables_write_their_heads_only(spark, monkeypatch):
+    written, cut = [], J.checkpoint
+
+    def counted(df, *a):
+        out = cut(df, *a)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(J, "checkpoint", counted)
+    items = [("g", i, f'{{"a": {i}, "b": "x,{i}", "c": null}}') for i in range(200)] + [("g", 200, '{"b": "", "d": [1, {"e": true}]}'), ("g", 201, "[1]"), ("g", 202, "{bad"), ("h", 0, '{"a": 1}'), ("h", 1, '{"a": "y"}'), (None, 0, '{"a": 1}')]
+    got = J.as_table(spark.createDataFrame(items, "grp string, pos int, item string")).where("grp IS NOT NULL").orderBy("grp", "linha").collect()
+    assert [(r.grp, r.linha, r.texto) for r in got] == [("g", 0, "b:string,a:numeric,c:null,d:array")] + [("g", i + 1, f'"x,{i}",{i},,') for i in range(200)] + [("g", 201, '"",,,"[1,{""e"":true}]"'), ("h", 0, "a:mixed"), ("h", 1, "1"), ("h", 2, "y")]
+    assert written == [3]
