@@ -24,6 +24,8 @@ BANDS, ROWS = 14, 9
 HOT = 200
 #: Columns that letters are counted in, labels of a tile that is compared at once, least labels of a block and most blocks.
 TOKENS, TILE, BLOCK, BLOCKS = 256, 1024, 2048, 64
+#: Labels whose connections a task holds at once.
+HELD = 500_000
 
 
 @lru_cache(maxsize=4)
@@ -73,11 +75,51 @@ def _tokens(labels: list[str]) -> np.ndarray:
     return out
 
 
-def close_pairs(x: list[str], y: list[str] | None, threshold: float) -> Iterator[tuple[list[str], list[str]]]:
+class Forest:
+    """Which labels are known to be connected. Over ``HELD`` labels it begins anew, so that pairs may be given that were not needed, but none is lost."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.root = np.empty(0, np.int64)
+
+    def numbers(self, labels: list[str]) -> np.ndarray:
+        """Numbers of the labels; those given before hold until the next call of ``fit``."""
+        n = np.fromiter((self.number.setdefault(x, len(self.number)) for x in labels), np.int64, len(labels))
+        self.root = np.r_[self.root, np.arange(len(self.root), len(self.number))]
+        return n
+
+    def fit(self, more: int) -> None:
+        if len(self.number) + more > HELD:
+            self.__init__()
+
+    def join(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Connects ``p`` with ``q``, one after another; the places of those that were not connected."""
+        up: dict[int, int] = {}
+
+        def top(v: int) -> int:
+            while v in up:
+                up[v] = v = up.get(up[v], up[v])
+            return v
+
+        new = []
+        for k, (x, y) in enumerate(zip(self.root[p].tolist(), self.root[q].tolist())):
+            x, y = top(x), top(y)
+            if x != y:
+                up[y] = x
+                new.append(k)
+        if up:
+            to = np.arange(len(self.root))
+            to[list(up)] = [top(v) for v in list(up)]
+            self.root = to[self.root]
+        return np.array(new, np.int64)
+
+
+def close_pairs(x: list[str], y: list[str] | None, threshold: float, forest: Forest | None = None) -> Iterator[tuple[list[str], list[str]]]:
     """All pairs of ``x`` with ``y``, or within ``x``, whose Jaro-Winkler similarity reaches the threshold, in parts.
 
     m common letters allow a Jaro similarity of (m/|a| + m/|b| + 1)/3 at most. Pairs are dropped by this bound as if four letters were
-    common at the beginning, then with those that are, and the rest is compared exactly.
+    common at the beginning, then with those that are, and the rest is compared exactly. With a ``forest`` only pairs come out that
+    connect what is not connected yet; they connect the same labels as all pairs do.
     """
     def side(labels: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         labels = sorted(labels, key=len)
@@ -88,6 +130,9 @@ def close_pairs(x: list[str], y: list[str] | None, threshold: float) -> Iterator
     least = min(threshold, max(0.7, (threshold - 0.4) / 0.6)) - 1e-5
     a, ia, ta, fa = side(x)
     b, ib, tb, fb = (a, ia, ta, fa) if y is None else side(y)
+    if forest is not None:
+        forest.fit(len(a) + len(b))
+        na, nb = forest.numbers(a), forest.numbers(b)
     for i in range(0, len(a), TILE):
         for j in range(i if y is None else 0, len(b), TILE):
             u, v = ia[i : i + TILE], ib[j : j + TILE]
@@ -103,21 +148,33 @@ def close_pairs(x: list[str], y: list[str] | None, threshold: float) -> Iterator
             r, c = r[top >= threshold - 1e-5], c[top >= threshold - 1e-5]
             wide = max(len(a[min(i + TILE, len(a)) - 1]), len(b[min(j + TILE, len(b)) - 1]))
             step = max(1, min(8192, 2_000_000 // max(16, wide)))
-            for at in range(0, len(r), step):
-                p, q = [a[k] for k in r[at : at + step]], [b[k] for k in c[at : at + step]]
+            while len(r):
+                if forest is not None:
+                    apart = forest.root[na[r]] != forest.root[nb[c]]
+                    r, c = r[apart], c[apart]
+                    if not len(r):
+                        break
+                p, q = [a[k] for k in r[:step]], [b[k] for k in c[:step]]
                 s, n = jaro_batch(p, q)
                 keep = np.flatnonzero(np.where(s > 0.7, s + 0.1 * n * (1 - s), s) >= threshold)
+                if forest is not None:
+                    keep = keep[forest.join(na[r[keep]], nb[c[keep]])]
                 yield [min(p[k], q[k]) for k in keep], [max(p[k], q[k]) for k in keep]
+                r, c = r[step:], c[step:]
 
 
-def _cells(threshold: float):  # noqa: ANN202
-    """Streams rows (cell, left, rotulo) sorted by cell: the similar pairs of each; a cell without right labels is paired within."""
+def _cells(threshold: float, spanning: bool):  # noqa: ANN202
+    """Streams rows (cell, left, rotulo) sorted by cell: the similar pairs of each; a cell without right labels is paired within.
+
+    With ``spanning`` a task leaves out pairs that its pairs before connect already.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_, held = None, ([], [])
+        forest = Forest() if spanning else None
 
         def pairs() -> Iterator[pa.RecordBatch]:
-            for x, y in close_pairs(held[0], held[1], threshold) if open_[1] else close_pairs(held[0], None, threshold):
+            for x, y in close_pairs(held[0], held[1] if open_[1] else None, threshold, forest):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()), pa.array(y, pa.string())], ["a", "b"])
 
         for b in batches:
@@ -133,8 +190,8 @@ def _cells(threshold: float):  # noqa: ANN202
     return run
 
 
-def _close(labels: DataFrame, threshold: float) -> DataFrame:
-    """``(a, b)``: all pairs of different ``labels (rotulo)``, written already, whose similarity reaches the threshold.
+def _close(labels: DataFrame, threshold: float, spanning: bool = False) -> DataFrame:
+    """``(a, b)``: all pairs of different ``labels (rotulo)``, written already, whose similarity reaches the threshold, or as many as connect them.
 
     Labels go to blocks and each pair of blocks is one cell, so a label is sent once a block, ``BLOCKS`` times at most, and nothing else is written.
     """
@@ -143,7 +200,7 @@ def _close(labels: DataFrame, threshold: float) -> DataFrame:
     each = labels.select("rotulo", h.alias("h"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("o"))
     rows = each.select((F.least("h", o) * n + F.greatest("h", o)).alias("cell"), (F.col("h") != o).alias("two"), (F.col("h") <= o).alias("left"), "rotulo")
     tasks = min(n * (n + 1) // 2, 4 * labels.sparkSession.sparkContext.defaultParallelism)
-    return rows.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(_cells(threshold), "a string, b string")
+    return rows.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(_cells(threshold, spanning), "a string, b string")
 
 
 def _met(bands: DataFrame) -> DataFrame:
@@ -152,19 +209,20 @@ def _met(bands: DataFrame) -> DataFrame:
     return x.join(y.hint("merge"), "banda").where("a < b").select("a", "b").distinct()
 
 
-def label_pairs(labels: DataFrame, column: str, threshold: float = 0.92, least_bits: float = 2.5, exact: bool = False) -> DataFrame:
+def label_pairs(labels: DataFrame, column: str, threshold: float = 0.92, least_bits: float = 2.5, exact: bool = False, spanning: bool = False) -> DataFrame:
     """``(a, b)``: different normal forms that may be similar.
 
     Labels are normalised and deduplicated first, so equal labels never meet; those under ``least_bits`` of entropy per character say too
     little to be merged and take no part. Null labels are left out. By default candidates share a band of their MinHash signatures, which
     is the engine's own rule and finds pairs of similar trigrams only; labels of a band over ``HOT`` labels are all compared
-    exactly instead, so no band is expanded whole. With ``exact`` all labels are, and no pair of the threshold is lost.
+    exactly instead, so no band is expanded whole. With ``exact`` all labels are, and no pair of the threshold is lost;
+    with ``spanning`` besides, only pairs are given that connect the same labels, in each task fewer than labels.
     """
     # cut here, or the test of each label would be made for each row
     n = checkpoint(labels.select(normal_label(F.col(column)).alias("rotulo")).where("rotulo <> ''").distinct())
     n = checkpoint(n.where(entropy(F.col("rotulo")) >= least_bits))
     if exact:
-        return _close(n, threshold)
+        return _close(n, threshold, spanning)
     bands = checkpoint(n.select("rotulo", char_shingles(F.col("rotulo")).alias("s")).mapInArrow(_band_keys, "rotulo string, banda bigint"))
     size = bands.groupBy("banda").agg(F.count("*").alias("n"))
     cold = bands.join(size.where(F.col("n").between(2, HOT)).select("banda"), "banda", "left_semi")
@@ -202,7 +260,8 @@ def resolve(nodes: DataFrame, key: str, label: str, threshold: float = 0.92, exa
     Similar labels are joined transitively. Of a group the shortest key stays, then the smallest. A node that stays names itself.
     """
     n = checkpoint(nodes.select(F.col(key).alias("k"), normal_label(F.col(label)).alias("rotulo")).where("k IS NOT NULL AND rotulo <> ''").distinct())
-    sim = similar_labels(n, "rotulo", threshold, exact=exact)
+    # pairs grow with the square of the labels, those that connect them do not; exact pairs are compared already
+    sim = label_pairs(n, "rotulo", threshold, exact=True, spanning=True) if exact else similar_labels(n, "rotulo", threshold)
     group = components(sim.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     g = n.join(group.withColumnRenamed("node", "rotulo"), "rotulo", "left").select("k", F.coalesce("component", "rotulo").alias("g"))
     best = g.groupBy("g").agg(F.min(F.struct(F.length(F.col("k").cast("string")).alias("n"), F.col("k").alias("k"))).alias("m"), F.count("*").alias("c")).where("c > 1")

@@ -90,3 +90,44 @@ def test_resolving_writes_labels_and_pairs_only(spark, monkeypatch):
     ids = {x: f"n{i:03d}" for i, x in enumerate(labels)}
     assert {r.id: r.sobrevivente for r in got} == {ids[x]: min(ids[y] for y in labels if group[y] == group[x]) for x in labels}
     assert max(written) <= len(labels) * 20
+
+
+def test_resolving_takes_only_pairs_that_connect(spark, monkeypatch):
+    from garimpo.operators.entities import jaro_winkler_of
+
+    labels = [f"{a} de busca {i:03d}" for a in ("ponte", "cofre") for i in range(150)] + ["norte", "índice fino"]
+    group = {x: x for x in labels}
+    for a, b in itertools.combinations(labels, 2):
+        if jaro_winkler_of(a, b) >= 0.92 and group[a] != group[b]:
+            old, new = max(group[a], group[b]), min(group[a], group[b])
+            group |= {x: new for x in labels if group[x] == old}
+    ids, taken, join = {x: f"n{i:03d}" for i, x in enumerate(labels)}, [], E.components
+    want = {(ids[x], min(ids[y] for y in labels if group[y] == group[x])) for x in labels if list(group.values()).count(group[x]) > 1}
+
+    def counted(edges):
+        taken.append(edges.count())
+        return join(edges)
+
+    monkeypatch.setattr(E, "components", counted)
+    nodes = spark.createDataFrame([(ids[x], x) for x in labels], "id string, label string")
+    assert {tuple(r) for r in E.resolve(nodes, "id", "label", exact=True).collect()} == want and len(want) == 300
+    assert taken[0] <= 10 * len(labels)  # ten cells; all similar pairs are over 20,000
+    # what a task forgets gives more pairs and loses none
+    for held in (10**6, 1):
+        monkeypatch.setattr(E, "HELD", held)
+        forest, root = E.Forest(), {x: x for x in labels}
+        for x, y in ((labels[:90], None), (labels[90:], None), (labels[:90], labels[90:])):
+            for a, b in (p for part in E.close_pairs(x, y, 0.92, forest) for p in zip(*part)):
+                assert jaro_winkler_of(a, b) >= 0.92
+                root = {k: root[a] if v == root[b] else v for k, v in root.items()}
+        assert len(set(root.values())) == len(set(group.values()))
+
+
+def test_components_never_broadcast_edges(spark, monkeypatch):
+    from garimpo.operators import components as C
+
+    plans, cut = [], C.checkpoint
+    monkeypatch.setattr(C, "checkpoint", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    got = C.components(spark.createDataFrame([(3, 2), (2, 1), (9, 8)], "src int, dst int")).collect()
+    assert {tuple(r) for r in got} == {(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)}
+    assert plans and not any("Broadcast" in p for p in plans)
