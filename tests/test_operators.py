@@ -321,3 +321,47 @@ def test_tables_write_their_heads_only(spark, monkeypatch):
     got = J.as_table(spark.createDataFrame(items, "grp string, pos int, item string")).where("grp IS NOT NULL").orderBy("grp", "linha").collect()
     assert [(r.grp, r.linha, r.texto) for r in got] == [("g", 0, "b:string,a:numeric,c:null,d:array")] + [("g", i + 1, f'"x,{i}",{i},,') for i in range(200)] + [("g", 201, '"",,,"[1,{""e"":true}]"'), ("h", 0, "a:mixed"), ("h", 1, "1"), ("h", 2, "y")]
     assert written == [3]
+
+
+def test_bm25_of_texts_writes_no_row_a_posting(spark, monkeypatch):
+    import random
+
+    r = random.Random(5)
+    texts = [(i % 180, " ".join(r.choices([f"w{k}" for k in range(60)], k=r.randrange(0, 40))), r.choice(["w1 x", None, "w2 w2"])) for i in range(200)] + [(None, "w1", "w2"), (500, None, "")]
+    docs = spark.createDataFrame(texts, "doc long, t string, u string").repartition(3)
+    q = spark.createDataFrame([(i, [f"w{k}" for k in r.sample(range(70), 6)]) for i in range(30)] + [(30, ["none"]), (31, None)], "qid long, terms array<string>")
+    tf, lens = R.postings(docs.where("doc IS NOT NULL"), "doc", {"t": 1.0, "u": 3.0})
+    want = rows(R.bm25(q, tf, lens.groupBy("doc").agg(F.sum("len").alias("len")), 7))
+    assert len(want) > 200
+    written, cut = [], R.checkpoint
+
+    def counted(df, *a):
+        out = cut(df, *a)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(R, "checkpoint", counted)
+    for few in (R.FEW, 5):
+        monkeypatch.setattr(R, "FEW", few)
+        written.clear()
+        assert rows(R.bm25_of_texts(q, docs, "doc", {"t": 1.0, "u": 3.0}, 7, pass_terms=100)) == want
+        assert few == 5 or max(written) <= 200
+    assert rows(R.bm25_of_texts(q, docs.limit(0), "doc", {"t": 1.0}, 7)) == [] and rows(R.bm25_of_texts(q.limit(0), docs, "doc", {"t": 1.0}, 7)) == []
+
+
+def test_lexical_list_writes_no_row_a_posting(spark, monkeypatch):
+    import __spark_entry__ as entry
+    import oracle
+    from garimpo.plans import reference as Q
+
+    written, cut = [], R.checkpoint
+
+    def counted(df, *a):
+        out = cut(df, *a)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(R, "checkpoint", counted)
+    monkeypatch.setattr(Q, "checkpoint", counted)
+    assert oracle.compare(spark, "r07_authority_rerank", entry.queries()["r07_authority_rerank"], entry.oracle_sql()["r07_authority_rerank"], "sf0.01") > 0
+    assert max(written) <= 1000
